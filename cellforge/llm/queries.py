@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cellforge.llm import byte_bpe, simhash, url_filter
+from cellforge.llm import byte_bpe, rule_quality, simhash, url_filter
 from cellforge.llm.common import table
 
 
@@ -16,6 +17,17 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+#: A text is kept as good from this score on.
+GOOD = 0.7
+
+
+def op5_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = rule_quality.fit(docs, table(spark, sf_dir, "labels"))
+    held = rule_quality.fold() == rule_quality.HELD_OUT
+    return rule_quality.score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -45,7 +57,7 @@ SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_byte_bpe": op2_byte_bpe, "op7_simhash": op7_simhash, "op9_url_filter": op9_url_filter}
+    return {"op2_byte_bpe": op2_byte_bpe, "op5_rule_quality": op5_rule_quality, "op7_simhash": op7_simhash, "op9_url_filter": op9_url_filter}
 
 
 def oracle_sql() -> dict[str, str]:
