@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellforge.llm import byte_bpe, rule_quality, simhash, url_filter
+from cellforge.llm import byte_bpe, positional_index, rule_quality, simhash, url_filter
 from cellforge.llm.common import table
 
 
@@ -32,6 +32,35 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return positional_index.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("hit_ranges")
+
+
+OP8_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS n, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+),
+i AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark
+),
+w AS (
+  SELECT DISTINCT item_id, least(10, len(ws)) AS len, array_to_string(ws[s : s + least(10, len(ws)) - 1], ' ') AS words
+  FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS s FROM i WHERE len(ws) > 0)
+),
+g AS (
+  SELECT n, s, l.len, array_to_string(ws[s : s + l.len - 1], ' ') AS words
+  FROM (SELECT n, ws, unnest(range(1, len(ws) + 1)) AS s FROM d), (SELECT DISTINCT len FROM w) l
+  WHERE s + l.len - 1 <= len(ws)
+),
+m AS (SELECT n, s, len, item_id FROM g JOIN w USING (len, words)),
+h AS (SELECT n, count(DISTINCT p) AS n_hit FROM (SELECT n, unnest(range(s, s + len)) AS p FROM m) GROUP BY n),
+t AS (SELECT n, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM m GROUP BY n)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (n) LEFT JOIN t USING (n)
+"""
+
+
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
 
@@ -57,8 +86,8 @@ SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_byte_bpe": op2_byte_bpe, "op5_rule_quality": op5_rule_quality, "op7_simhash": op7_simhash, "op9_url_filter": op9_url_filter}
+    return {"op2_byte_bpe": op2_byte_bpe, "op5_rule_quality": op5_rule_quality, "op7_simhash": op7_simhash, "op8_positional_index": op8_positional_index, "op9_url_filter": op9_url_filter}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_url_filter": OP9_SQL}
+    return {"op8_positional_index": OP8_SQL, "op9_url_filter": OP9_SQL}
