@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellforge.llm import byte_bpe, positional_index, rule_quality, simhash, url_filter
+from cellforge.llm import byte_bpe, positional_index, rule_quality, simhash, suffix_dedup, url_filter
 from cellforge.llm.common import table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removals(table(spark, sf_dir, "documents"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -86,7 +90,7 @@ SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_byte_bpe": op2_byte_bpe, "op5_rule_quality": op5_rule_quality, "op7_simhash": op7_simhash, "op8_positional_index": op8_positional_index, "op9_url_filter": op9_url_filter}
+    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_byte_bpe": op2_byte_bpe, "op5_rule_quality": op5_rule_quality, "op7_simhash": op7_simhash, "op8_positional_index": op8_positional_index, "op9_url_filter": op9_url_filter}
 
 
 def oracle_sql() -> dict[str, str]:
