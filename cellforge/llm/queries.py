@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellforge.llm import byte_bpe, positional_index, rule_quality, simhash, suffix_dedup, url_filter
+from cellforge.llm import byte_bpe, positional_index, rule_quality, simhash, sphere_cells, suffix_dedup, url_filter
 from cellforge.llm.common import table
 
 
@@ -65,6 +65,24 @@ FROM d LEFT JOIN h USING (n) LEFT JOIN t USING (n)
 """
 
 
+def op10_sphere_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sphere_cells.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+#: Small tables only: SQL compares all pairs.
+OP10_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e,
+         coalesce(list_bool_and([x IS NOT NULL AND isfinite(x) FOR x IN CAST(embedding AS DOUBLE[])]) AND list_bool_or([coalesce(x, 0) <> 0 FOR x IN CAST(embedding AS DOUBLE[])]), false) AS ok
+  FROM embeddings
+),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND a.ok AND b.ok AND list_cosine_similarity(a.e, b.e) >= 0.95),
+r(x, y) AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(first, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(first, vec_id)) AS kept
+FROM v LEFT JOIN (SELECT x, count(*) AS n FROM l GROUP BY x) c ON c.x = vec_id LEFT JOIN (SELECT x, min(y) AS first FROM r GROUP BY x) f ON f.x = vec_id
+"""
+
+
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
 
@@ -90,8 +108,8 @@ SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_byte_bpe": op2_byte_bpe, "op5_rule_quality": op5_rule_quality, "op7_simhash": op7_simhash, "op8_positional_index": op8_positional_index, "op9_url_filter": op9_url_filter}
+    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_byte_bpe": op2_byte_bpe, "op5_rule_quality": op5_rule_quality, "op7_simhash": op7_simhash, "op8_positional_index": op8_positional_index, "op9_url_filter": op9_url_filter, "op10_sphere_cells": op10_sphere_cells}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_positional_index": OP8_SQL, "op9_url_filter": OP9_SQL}
+    return {"op8_positional_index": OP8_SQL, "op9_url_filter": OP9_SQL, "op10_sphere_cells": OP10_SQL}
