@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellforge.llm import byte_bpe, positional_index, rule_quality, simhash, sphere_cells, suffix_dedup, url_filter
+from cellforge.llm import byte_bpe, chat_snapshots, positional_index, rule_quality, simhash, sphere_cells, suffix_dedup, url_filter, warc
 from cellforge.llm.common import table
 
 
@@ -21,6 +21,38 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_snapshots.render(table(spark, sf_dir, "conversations"))
+
+
+OP3_SQL = """
+WITH c AS (
+  SELECT conv_id, list(struct_pack(turn := coalesce(turn, -4611686018427387904), role := role, text := text) ORDER BY coalesce(turn, -4611686018427387904), role NULLS FIRST, text NULLS FIRST) AS ts,
+  FROM conversations GROUP BY conv_id
+),
+s AS (SELECT conv_id, [struct_pack(role := x.role, text := x.text) FOR x IN ts] AS said FROM c),
+p AS (SELECT DISTINCT said[1 : n] AS said FROM (SELECT said, unnest(range(1, len(said))) AS n FROM s)),
+k AS (SELECT min(conv_id) AS conv_id FROM s WHERE said NOT IN (SELECT said FROM p) GROUP BY said)
+SELECT conv_id, CAST(len(ts) AS BIGINT) AS n_turns,
+       array_to_string(['<|im_start|>' || coalesce(x.role, '') || chr(10) || coalesce(x.text, '') || '<|im_end|>' || chr(10) FOR x IN ts], '') AS rendered
+FROM c WHERE conv_id IN (SELECT conv_id FROM k)
+"""
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"))
+
+
+OP4_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, row_number() OVER (PARTITION BY coalesce(html, '') ORDER BY page_id DESC) AS n, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top FROM pages),
+h AS (SELECT *, sha1(html) AS hex FROM p)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(hex, 1 + 5 * (j // 4), 5) AS INT) >> (15 - 5 * (j % 4))) & 31), 1) FOR j IN range(0, 32)], '') AS payload_digest,
+       CASE WHEN n = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN n > 1 THEN top END AS refers_to
+FROM h
+"""
+
+
 #: A text is kept as good from this score on.
 GOOD = 0.7
 
@@ -108,8 +140,8 @@ SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_byte_bpe": op2_byte_bpe, "op5_rule_quality": op5_rule_quality, "op7_simhash": op7_simhash, "op8_positional_index": op8_positional_index, "op9_url_filter": op9_url_filter, "op10_sphere_cells": op10_sphere_cells}
+    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_byte_bpe": op2_byte_bpe, "op3_chat_snapshots": op3_chat_snapshots, "op4_warc": op4_warc, "op5_rule_quality": op5_rule_quality, "op7_simhash": op7_simhash, "op8_positional_index": op8_positional_index, "op9_url_filter": op9_url_filter, "op10_sphere_cells": op10_sphere_cells}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_positional_index": OP8_SQL, "op9_url_filter": OP9_SQL, "op10_sphere_cells": OP10_SQL}
+    return {"op3_chat_snapshots": OP3_SQL, "op4_warc": OP4_SQL, "op8_positional_index": OP8_SQL, "op9_url_filter": OP9_SQL, "op10_sphere_cells": OP10_SQL}
