@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellforge.llm import byte_bpe, chat_snapshots, positional_index, rule_quality, simhash, sphere_cells, suffix_dedup, url_filter, warc
+from cellforge.llm import byte_bpe, chat_snapshots, positional_index, rule_quality, simhash, sphere_cells, suffix_dedup, url_filter, warc, wrapper_html
 from cellforge.llm.common import table
 
 
@@ -64,6 +64,10 @@ def op5_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_quality.score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
 
 
+def op6_wrapper_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper_html.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -140,7 +144,7 @@ SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_byte_bpe": op2_byte_bpe, "op3_chat_snapshots": op3_chat_snapshots, "op4_warc": op4_warc, "op5_rule_quality": op5_rule_quality, "op7_simhash": op7_simhash, "op8_positional_index": op8_positional_index, "op9_url_filter": op9_url_filter, "op10_sphere_cells": op10_sphere_cells}
+    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_byte_bpe": op2_byte_bpe, "op3_chat_snapshots": op3_chat_snapshots, "op4_warc": op4_warc, "op5_rule_quality": op5_rule_quality, "op6_wrapper_html": op6_wrapper_html, "op7_simhash": op7_simhash, "op8_positional_index": op8_positional_index, "op9_url_filter": op9_url_filter, "op10_sphere_cells": op10_sphere_cells}
 
 
 def oracle_sql() -> dict[str, str]:
