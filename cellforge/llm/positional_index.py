@@ -54,9 +54,9 @@ def _near(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id and text with the key (d, h) of a row."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).select("doc_id", "text", F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), F.xxhash64("text").alias("h"))
+def keyed(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text and the columns in keep, with the key (d, h) of a row."""
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.struct(F.lit(0).alias("_"), *keep).alias("rest")).select("doc_id", "text", "rest", F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), F.xxhash64("text").alias("h"))
 
 
 def postings(docs: DataFrame, terms: DataFrame, rows: int) -> DataFrame:
@@ -91,8 +91,8 @@ def candidates(index: DataFrame, words: DataFrame, windows: DataFrame, rows: int
     return both.select("d", "h", "item", "place", F.explode("ws").alias("w")).select("d", "h", "item", "place", "w.start", "w.n")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and hit_ranges (runs of hit words) of each row."""
+def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and hit_ranges (runs of hit words) of each row, and its columns in keep."""
     words = stored(item_words(items), "items")
     rows = words.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
     windows = stored(anchors(docs, words, rows, width), "windows")
@@ -102,7 +102,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> Data
     # an aligned item is one group of places, whatever number of its windows matches
     found = candidates(index, words, windows, rows).groupBy("d", "h", "item", "place").agg(F.array_sort(F.collect_list(F.struct("start", "n"))).alias("ws"))
     found = found.join(_near(words, rows), "item").groupBy("d", "h").agg(F.collect_list(F.struct("item_id", "place", "ws", "words")).alias("found"))
-    all_docs = keyed(docs).join(found, ["d", "h"], "left").select("doc_id", pieces().alias("ps"), "found")
+    all_docs = keyed(docs, keep).join(found, ["d", "h"], "left").select("doc_id", "rest", pieces().alias("ps"), "found")
 
     def true_starts(f: Column) -> Column:
         """(first word, end) of the windows of an aligned item that the text has."""
@@ -112,15 +112,15 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> Data
 
     empty = F.array().cast("array<struct<item_id:bigint,runs:array<struct<s:int,e:int>>>>")
     checked = F.filter(F.transform("found", lambda f: F.struct(f.item_id.cast("bigint").alias("item_id"), true_starts(f).alias("runs"))), lambda f: F.size(f.runs) > 0)
-    judged = all_docs.select("doc_id", (F.size("ps") - (F.col("ps")[0] == "").cast("int") - ((F.size("ps") > 1) & (F.element_at("ps", -1) == "")).cast("int")).cast("long").alias("n_words"), (F.col("ps")[0] == "").cast("int").alias("shift"), F.coalesce(checked, empty).alias("hits"))
+    judged = all_docs.select("doc_id", "rest", (F.size("ps") - (F.col("ps")[0] == "").cast("int") - ((F.size("ps") > 1) & (F.element_at("ps", -1) == "")).cast("int")).cast("long").alias("n_words"), (F.col("ps")[0] == "").cast("int").alias("shift"), F.coalesce(checked, empty).alias("hits"))
     runs = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda x: x.runs))))
     start = F.array().cast("array<struct<s:int,e:int>>")
     merged = F.aggregate(runs, start, lambda acc, r: F.when((F.size(acc) > 0) & (F.element_at(acc, -1).e >= r.s), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1).s.alias("s"), F.greatest(F.element_at(acc, -1).e, r.e).alias("e"))))).otherwise(F.concat(acc, F.array(r))))
     ids = F.array_sort(F.array_distinct(F.transform(F.filter("hits", lambda x: x.item_id.isNotNull()), lambda x: x.item_id.cast("string"))))
     n_hit = F.aggregate("hit_ranges", F.lit(0).cast("long"), lambda acc, r: acc + r.e - r.s)
     # an empty first piece shifts positions by one
-    out = judged.select("doc_id", "n_words", ids.alias("ids"), F.transform(merged, lambda r: F.struct((r.s - F.col("shift")).alias("s"), (r.e - F.col("shift")).alias("e"))).alias("hit_ranges"))
-    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"), (F.size("hit_ranges") > 0).alias("contaminated"), "hit_ranges")
+    out = judged.select("doc_id", "rest", "n_words", ids.alias("ids"), F.transform(merged, lambda r: F.struct((r.s - F.col("shift")).alias("s"), (r.e - F.col("shift")).alias("e"))).alias("hit_ranges"))
+    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"), (F.size("hit_ranges") > 0).alias("contaminated"), "hit_ranges", *[F.col(f"rest.{k}") for k in keep if k != "doc_id"])
 
 
 def proximity(docs: DataFrame, items: DataFrame, slop: int) -> DataFrame:

@@ -101,3 +101,14 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFram
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of = rooted.join(named, "root").select("fp", "component_id")
     return each.join(of, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
+    """docs with one row of each group of near-duplicates, that of the smallest doc_id.
+
+    Rows of equal doc_id and text are one document. Rows with a null doc_id go where their group has a
+    document with an id, and stay otherwise.
+    """
+    first = near_duplicates(docs, words, seed).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
+    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
+    return kept.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
