@@ -19,6 +19,10 @@ IMPLIED = {
 #: Tags that an end tag outside of a table never closes.
 SCOPE = frozenset(("table", "td", "th", "caption"))
 
+#: What a reader doesn't see, and what is read.
+HIDDEN = frozenset("script style noscript iframe svg canvas".split())
+READ = frozenset("p h1 h2 h3 h4 h5 h6".split())
+
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>""", re.S)
 _ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
@@ -157,3 +161,11 @@ def parse(html: str) -> Node:
     if at < end:
         here.kids.append(unescape(html[at:]))
     return root
+
+
+def clean_text(root: Node) -> str:
+    """Paragraphs and headings in page order, an empty line between; all text where there are none."""
+    for n in root.find_all(*HIDDEN):
+        n.drop()
+    parts = [t for n in root.find_all(*READ) if (t := n.text(strip=True))]
+    return "\n\n".join(parts) if parts else root.text("\n", strip=True)

@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from cellforge.functions.dom import Node, parse
+from cellforge.functions.dom import clean_text, parse
 from cellforge.sources.registry import ENTITIES, Publisher, publishers
 
 U = "(?dU)"
@@ -26,8 +26,6 @@ BLOCKED = [
 # Words that tell a coordinate space.
 SOFTWARE = {"MNI": ("spm", "fsl"), "TAL": ("afni", "brainvoyager")}
 SPACE_WORDS = {"MNI": "mni", "TAL": "talairach"}
-HIDDEN = frozenset("script style noscript iframe svg canvas".split())
-READ = frozenset("p h1 h2 h3 h4 h5 h6".split())
 
 
 def is_valid_page(html: str = "html") -> Column:
@@ -68,14 +66,6 @@ def normalized(text: str | Column, most: int | None = None) -> Column:
     return F.left(out, F.lit(most)) if most else out
 
 
-def clean_text(root: Node) -> str:
-    """Paragraphs and headings in page order, an empty line between; all text where there are none."""
-    for n in root.find_all(*HIDDEN):
-        n.drop()
-    parts = [t for n in root.find_all(*READ) if (t := n.text(strip=True))]
-    return "\n\n".join(parts) if parts else root.text("\n", strip=True)
-
-
 @pandas_udf("string")
 def readable(html: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in html:
@@ -92,7 +82,8 @@ def links(html: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def guess_space(text: str | Column) -> Column:
     """MNI, TAL or UNKNOWN by the software, else the space, that a text names with 30 characters on both sides in its line."""
     low = F.lower(F.col(text) if isinstance(text, str) else text)
-    named = lambda w: F.regexp_like(low, F.lit(rf"{U}\b(.{{30,40}}\b{w}.{{30,40}})\b"))
+    # the word first, then what is around it: a scan for the text before it would try every position
+    named = lambda w: F.contains(low, F.lit(w)) & F.regexp_like(low, F.lit(rf"{U}\b{w}(?<=\b.{{30,40}}{w})(?=.{{30,40}}\b)"))
     by = {k: named(ws[0]) | named(ws[1]) for k, ws in SOFTWARE.items()}
     none = ~by["MNI"] & ~by["TAL"]
     mni, tal = named(SPACE_WORDS["MNI"]), named(SPACE_WORDS["TAL"])
