@@ -9,8 +9,8 @@ kept, so an archive that a lost executor began is never read.
 Reading selects records in the index, deals them by file and stretch, sorts the ranges, joins those that
 lie closer than GAP into reads of up to READ bytes, and takes the records out of each read.
 
-A null url is written as an empty target. A null page_id comes last among equal payloads. Rows that repeat
-wholly are told apart by their order, so exactly one of them is the response. Extra columns are ignored. An
+A null url is written as an empty target. A null page_id comes last among equal payloads. Of rows
+that repeat wholly exactly one can be the response. Extra columns are ignored. An
 empty table gives an empty index and result.
 """
 
@@ -74,10 +74,20 @@ def _store(uri: str):  # noqa: ANN202
 
 def plan(pages: DataFrame, dedup_bytes: int = 0) -> DataFrame:
     """page_id, url, payload, record_type and refers_to of each row of pages (page_id, url, html)."""
-    each = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload")).withColumn("n", F.monotonically_increasing_id()).withColumn("sha", F.unhex(F.sha1("payload")))
-    first = each.where(F.length("payload") >= dedup_bytes).groupBy("sha").agg(F.max(F.struct("page_id", "n")).alias("top"), F.count("*").alias("copies")).where("copies > 1")
-    again = F.col("top").isNotNull() & (F.length("payload") >= dedup_bytes) & (F.col("n") != F.col("top.n"))
-    return each.join(first, "sha", "left").select("page_id", "url", "payload", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("top.page_id")).alias("refers_to"))
+    each = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload")).withColumn("sha", F.unhex(F.sha1("payload")))
+    equal = stored(each.where(F.length("payload") >= dedup_bytes).groupBy("page_id", "url", "sha").agg(F.count("*").alias("n")), "warc_rows")
+    top = equal.groupBy("sha").agg(F.max(F.struct("page_id", "url", "n")).alias("top"), F.sum("n").alias("copies")).where("copies > 1")
+    of = each.join(top, "sha", "left").withColumn("first", F.col("top").isNotNull() & F.col("page_id").eqNullSafe(F.col("top.page_id")) & F.col("url").eqNullSafe(F.col("top.url")))
+    again = F.col("top").isNotNull() & (F.length("payload") >= dedup_bytes) & ~F.col("first")
+    kind = lambda revisit: [F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("top.page_id")).alias("refers_to")]
+    cols = ["page_id", "url", "payload"]
+    planned = of.select(*cols, *kind(again), (F.col("first") & (F.col("top.n") > 1)).alias("same"), "top")
+    if equal.where("n > 1").isEmpty():
+        return planned.drop("same", "top")
+    # rows that repeat wholly are one row with a count: one response, and a revisit for each other copy
+    copies = planned.where("same").groupBy("page_id", "url", F.sha1("payload").alias("sha")).agg(F.first("payload").alias("payload"), F.first("top").alias("top"))
+    copies = copies.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("top.n"))).alias("k")).select(*cols, *kind(F.col("k") > 1))
+    return planned.where("NOT same").drop("same", "top").union(copies)
 
 
 def write(planned: DataFrame, folder: str) -> DataFrame:
