@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, StringType
 
 from cellforge.functions.dom import clean_text, parse
 from cellforge.sources.registry import ENTITIES, Publisher, publishers
@@ -66,13 +67,13 @@ def normalized(text: str | Column, most: int | None = None) -> Column:
     return F.left(out, F.lit(most)) if most else out
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def readable(html: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in html:
         yield s.map(lambda h: None if h is None else clean_text(parse(h)))
 
 
-@pandas_udf("array<string>")
+@pandas_udf(ArrayType(StringType()))
 def links(html: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Targets of the anchors of a page, in order."""
     for s in html:
@@ -127,7 +128,7 @@ def base_url(meta: Column) -> Column:
     return F.when(F.regexp_like(bare, F.lit(r"//[^/]+/.*\.[^/]*$")), F.regexp_replace(bare, r"/[^/]*$", "/")).otherwise(bare)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def resolved(base: pd.Series, href: pd.Series) -> pd.Series:
     """A link's full address; null for empty ones, fragments and what isn't a page."""
 

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from cellforge.functions import labels as rules
 
@@ -96,7 +97,7 @@ def with_kinds(labelled: DataFrame) -> DataFrame:
     return t.withColumn("std", F.transform("std", lambda k, i: F.when(k == "z?", F.when(after_y(i), "z").otherwise("statistic")).otherwise(k)))
 
 
-@pandas_udf("array<struct<onset:int,len:int>>")
+@pandas_udf(ArrayType(StructType([StructField("onset", IntegerType()), StructField("len", IntegerType())])))
 def repeating_groups(names: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in names:
         yield s.map(lambda x: [{"onset": a, "len": n} for a, n in rules.repeating_groups(list(x))] if x is not None else [])

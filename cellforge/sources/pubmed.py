@@ -88,7 +88,7 @@ def provider_urls(answer: str = "answer") -> Column:
 
 def converted(xml: str = "xml") -> Column:
     """(pmid, pmcid) pairs of an identifier converter's answer."""
-    record = F.regexp_extract_all(F.col(xml), F.lit(r"(<record[^>]*>)"), F.lit(1))
+    record = F.regexp_extract_all(F.col(xml), F.lit(r"(<record\s[^>]*>)"), F.lit(1))
     of = lambda r, k: F.nullif(F.regexp_extract(r, rf'\b{k}="([^"]*)"', 1), F.lit(""))
     return F.transform(record, lambda r: F.struct(of(r, "pmid").alias("pmid"), of(r, "pmcid").alias("pmcid")))
 
