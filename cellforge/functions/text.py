@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from cellforge.functions.dom import clean_text, parse
 from cellforge.sources.registry import ENTITIES, Publisher, publishers
@@ -80,6 +80,18 @@ def links(html: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(lambda h: [] if not h else [a.get("href") for a in parse(h).find_all("a") if "href" in a.attrs])
 
 
+@pandas_udf(StructType([StructField("doi", StringType()), StructField("pmid", StringType())]))
+def identifiers(html: pd.Series, source: pd.Series) -> pd.DataFrame:
+    """The DOI and the article number that a page tells."""
+    from cellforge.sources import extractors
+
+    found = []
+    for h, s in zip(html, source, strict=True):
+        root = parse(h or "")
+        found.append((extractors.doi(root, s), extractors.pmid(root, s)))
+    return pd.DataFrame(found, columns=["doi", "pmid"], dtype=object)
+
+
 def guess_space(text: str | Column) -> Column:
     """MNI, TAL or UNKNOWN by the software, else the space, that a text names with 30 characters on both sides in its line."""
     low = F.lower(F.col(text) if isinstance(text, str) else text)

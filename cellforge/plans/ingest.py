@@ -71,3 +71,21 @@ def linked_tables(pages: DataFrame, linked: DataFrame, settings: Settings = DEFA
     wanted = each.withColumn("url", T.resolved(T.base_url(F.col("base")), F.col("href"))).where("url IS NOT NULL")
     found = wanted.join(linked.select("url", "html"), "url")
     return cells.extract(found.select("doc_id", "html", "source"), settings)
+
+
+def kept_articles(found: DataFrame, tables: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """All articles, or those with tables only."""
+    return found if settings.keep_empty_documents else found.join(tables.select(F.col("doc_id").alias("id")), "id", "left_semi")
+
+
+def meaningful(tables: DataFrame, found: DataFrame) -> DataFrame:
+    """Tables with a record that has coordinates or names a region."""
+    says = F.col("x").isNotNull() | ~F.coalesce(F.lower("region"), F.lit("")).isin("", "empty", "n/a", "none")
+    return tables.join(found.where(says).select("doc_id", "table_ix"), ["doc_id", "table_ix"], "left_semi")
+
+
+def with_numbers(pages: DataFrame, by_doi: DataFrame) -> DataFrame:
+    """pages (html, source) with doi and pmid: told by the page, else looked up by its DOI (doi, pmid)."""
+    told = pages.withColumn("_ids", T.identifiers("html", "source"))
+    known = by_doi.select(F.col("doi").alias("_doi"), F.col("pmid").alias("_pmid"))
+    return told.join(known, F.col("_ids.doi") == F.col("_doi"), "left").withColumn("doi", F.col("_ids.doi")).withColumn("pmid", F.coalesce("_ids.pmid", "_pmid")).drop("_ids", "_doi", "_pmid")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellforge.functions import text as T
 from cellforge.operators import relational
 
 UNKNOWN = "UNKNOWN"
@@ -50,3 +51,16 @@ def missing_dois(dois: DataFrame, found: DataFrame) -> DataFrame:
 def take_new(articles: DataFrame, most: int) -> DataFrame:
     """articles (rank, is_new_valid) in order of rank until `most` new valid ones have been met."""
     return relational.up_to(articles, "rank", "is_new_valid", most)
+
+
+def cached(ids: DataFrame, cache: DataFrame, key: str = "pmid") -> tuple[DataFrame, DataFrame]:
+    """(what the cache has of ids, ids that are still to be fetched)."""
+    return cache.join(ids.select(key), key, "left_semi"), relational.new_only(ids, cache, key)
+
+
+def store_pages(pages: DataFrame, folder: str, stored: DataFrame | None = None) -> DataFrame:
+    """Writes valid pages (pmid, journal, html) that aren't stored, a folder for each journal; returns pmids that failed."""
+    new = relational.new_only(pages, stored, "pmid") if stored is not None else pages
+    gates = new.withColumn("valid", F.coalesce(T.is_valid_page(), F.lit(False)))
+    gates.where("valid").drop("valid").write.mode("append").partitionBy("journal").parquet(folder)
+    return gates.where("NOT valid").select("pmid")

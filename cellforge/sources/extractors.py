@@ -433,3 +433,51 @@ def table_links(root: Node) -> list[str]:
     links = [(a.get("href").strip(), a.text(" ", strip=True)) for a in root.find_all("a") if a.get("href").strip()]
     told = [h for h, t in links if LINK_TEXT.search(t) and (LINK_HREF.search(h) or LINK_TEXT.search(h))]
     return list(dict.fromkeys(told or [h for h, _ in links if LINK_HREF.search(h)]))
+
+
+# --- identifiers on a page
+
+DOI = re.compile(r"10\.\d{4,9}/[^\s\"'<>?#]+")
+
+
+def _meta(root: Node, *names: str, **also: str) -> str | None:
+    for name in names:
+        n = root.find("meta", where=lambda m, name=name: m.get("name") == name and all(m.get(k) == v for k, v in also.items()))
+        if n is not None and n.get("content"):
+            return n.get("content").strip()
+    return None
+
+
+def doi(root: Node, source: str | None) -> str | None:
+    """The article's DOI, from the place where the publisher puts it."""
+    if source in ("Plos", "Frontiers"):
+        return _text(root.find("article-id", where=lambda n: n.get("pub-id-type") == "doi"))
+    if source == "ScienceDirect":
+        box = root.find("div", where=lambda n: n.get("id") == "article-identifier-links")
+        first = next(iter(box.elements()), None) if box is not None else None
+        return first.get("href").replace("https://doi.org/", "") or None if first is not None else None
+    if source == "JournalOfCognitiveNeuroscience":
+        return _meta(root, "dc.Identifier", scheme="doi")
+    if source == "OldSpringer":
+        words = (_text(_class(root, "ArticleDOI", tags=("p",))) or "").split(" ")
+        return words[1] if len(words) > 1 else None
+    if source == "MDPI":
+        plain = _meta(root, "dc.identifier")
+        return _meta(root, "citation_doi") or (plain if plain and plain.startswith("10.") else None)
+    if source in ("Sage", "TaylorAndFrancis", "AmPsych"):
+        og = root.find("meta", where=lambda m: m.get("property") == "og:url")
+        told = _meta(root, "publication_doi", "dc.Identifier", "citation_doi") or (og.get("content") if og is not None else "")
+        return m[0] if (m := DOI.search(told)) else None
+    return _meta(root, "citation_doi") if source else None
+
+
+def pmid(root: Node, source: str | None) -> str | None:
+    """The article's number on its page; null where only a lookup by DOI gives it."""
+    if source == "MDPI":
+        a = root.find("a", where=lambda n: re.search(r"ncbi\.nlm\.nih\.gov/sites/entrez/(\d+)", n.get("href")) is not None)
+        return m[1] if a is not None and (m := re.search(r"/(\d+)", a.get("href"))) else None
+    if source in ("Sage", "AmPsych"):
+        box = _class(root, "core-pmid", tags=("div",))
+        a = box.find("a") if box is not None else None
+        return _digits((_text(a) or "") if source == "AmPsych" else a.get("href")) if a is not None else None
+    return _meta(root, "citation_pmid") if source in ("HighWire", "OUP", "PMC", "NationalAcademyOfSciences", "TaylorAndFrancis") else None

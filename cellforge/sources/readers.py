@@ -44,3 +44,30 @@ def tsv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """A tab-separated file with a header."""
     reader = spark.read.option("sep", "\t").option("header", True)
     return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
+
+
+def save(df: DataFrame, settings: Settings, name: str) -> None:
+    """Replaces a Parquet relation as a whole: it is written beside the old one, then takes its place."""
+    spark = df.sparkSession
+    new, old = f"{settings.store_uri}/{name}.new", f"{settings.store_uri}/{name}"
+    df.write.mode("overwrite").parquet(new)
+    jvm = spark._jvm
+    here, there = jvm.org.apache.hadoop.fs.Path(new), jvm.org.apache.hadoop.fs.Path(old)
+    fs = here.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(there, True)
+    if not fs.rename(here, there):
+        raise OSError(f"{new} can't take the place of {old}")
+
+
+def get_url(url: str, retries: int = 5, timeout: float = 10.0) -> str | None:
+    """A page by HTTP, asked for again with growing waits; None if it never comes."""
+    import time
+    import urllib.request
+
+    for k in range(retries):
+        try:
+            with urllib.request.urlopen(url, timeout=timeout) as r:
+                return r.read().decode("utf-8", "replace")
+        except OSError:
+            time.sleep(2**k)
+    return None

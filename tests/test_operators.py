@@ -199,3 +199,29 @@ def test_linked_tables_and_articles(spark):
     a = ingest.articles(pages).first()
     assert a.text.startswith("text") and a.space == "UNKNOWN" and a.publisher == "Springer"
     assert tuple(ingest.repository_links(pages).first())[:3] == (1, "image", "5")
+
+
+def test_identifiers_of_pages(spark):
+    rows = [
+        ("OUP", '<meta name="citation_doi" content="10.1093/x"><meta name="citation_pmid" content="9">'), ("Plos", "<article-id pub-id-type='doi'>10.1371/p</article-id>"), ("OldSpringer", "<p class=ArticleDOI>DOI 10.1007/s</p>"), ("Sage", '<meta name="publication_doi" content="10.1177/1234"><div class="core-pmid"><a href="https://pubmed/77">n</a></div>'),
+        ("MDPI", '<meta name="dc.identifier" content="10.3390/m"><a href="http://www.ncbi.nlm.nih.gov/sites/entrez/123">p</a>'), ("ScienceDirect", '<div id="article-identifier-links"><a href="https://doi.org/10.1016/j">d</a></div>'), (None, "<p>x"),
+    ]
+    pages = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, source string, html string")
+    got = [(r.doi, r.pmid) for r in ingest.with_numbers(pages, spark.createDataFrame([("10.1371/p", "55")], "doi string, pmid string")).orderBy("doc_id").collect()]
+    assert got == [("10.1093/x", "9"), ("10.1371/p", "55"), ("10.1007/s", None), ("10.1177/1234", "77"), ("10.3390/m", "123"), ("10.1016/j", None), (None, None)]
+
+
+def test_store(spark, tmp_path):
+    settings = DEFAULTS.with_changes(store_uri=str(tmp_path))
+    for n in (1, 2):
+        readers.save(spark.range(n), settings, "articles")
+        assert readers.relation(spark, settings, "articles").count() == n
+    with pytest.raises(ValueError):
+        readers.relation(spark, settings, "nothing")
+    with pytest.raises(ValueError):
+        readers.relation(spark, settings.with_changes(store_adapter="x"), "articles")
+    pages = spark.createDataFrame([(1, "J", "fine"), (2, "J", "403 Forbidden"), (3, "K", "fine")], "pmid long, journal string, html string")
+    failed = retrieval.store_pages(pages, str(tmp_path / "pages"), pages.where("pmid = 3"))
+    assert [r.pmid for r in failed.collect()] == [2] and spark.read.parquet(str(tmp_path / "pages")).count() == 1
+    have, fetch = retrieval.cached(pages.select("pmid"), pages.where("pmid = 1"))
+    assert have.count() == 1 and fetch.count() == 2
