@@ -10,6 +10,7 @@ from html import escape
 
 from cellforge.functions.dom import Node, has_class, parse
 
+# Words and patterns that tell tables, links to tables, and what isn't an article's table.
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 DROPPED = ("script", "style")
 _I = re.IGNORECASE
@@ -300,6 +301,7 @@ def pnas(root: Node) -> Iterator[Hit]:
 
 # --- pages of no known publisher
 
+# Containers of tables that publishers use, in order.
 _CONTAINERS: list[Callable[[Node], bool]] = [
     lambda n: n.tag == "div" and "table-full-width-wrap" in n.classes and "table-modal" not in n.classes,
     lambda n: n.tag == "div" and "table-wrap" in n.get("class"),
