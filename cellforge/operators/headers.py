@@ -25,10 +25,13 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
-def label_text(text: Column) -> Column:
-    """A position's text as a label: stripped, newlines as tabs, without one final period; null if it can't be one."""
-    clean = F.regexp_replace(F.translate(strip(F.coalesce(text, F.lit(""))), "\n", "\t"), r"(?Us)\s*\.\z", "")
-    return F.when((clean != "") & (F.lower(clean) != "empty cell") & ~F.startswith(clean, F.lit("@@")), clean)
+def clean_label(text: Column) -> Column:
+    """A position's text as a label: stripped, newlines as tabs, without one final period."""
+    return F.regexp_replace(F.translate(strip(F.coalesce(text, F.lit(""))), "\n", "\t"), r"(?Us)\s*\.\z", "")
+
+
+def can_label(clean: Column) -> Column:
+    return (clean != "") & (F.lower(clean) != "empty cell") & ~F.startswith(clean, F.lit("@@"))
 
 
 def _upto(n: Column) -> Column:
@@ -42,7 +45,8 @@ def with_labels(tables: DataFrame) -> DataFrame:
     one, or if the cell's row has three runs of digits: then the row is content already.
     """
     t = tables.withColumn("_raw", F.transform("grid", lambda r: F.transform(r, raw)))
-    t = t.withColumn("_text", F.transform("_raw", lambda r: F.transform(r, label_text)))
+    t = t.withColumn("_text", F.transform("_raw", lambda r: F.transform(r, clean_label)))
+    t = t.withColumn("_text", F.transform("_text", lambda r: F.transform(r, lambda c: F.when(can_label(c), c))))
     at = lambda j: F.array_position(F.transform("_text", lambda r: F.get(r, j).isNotNull()), True)  # noqa: E731  from 1; 0 if there is none
     t = t.withColumn("_row", F.transform(_upto(F.col("n_cols")), lambda j: at(j).cast("int")))
     others = F.slice("_row", 2, F.greatest(F.size("_row") - 1, F.lit(0)))

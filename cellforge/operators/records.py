@@ -117,10 +117,12 @@ def attributes(found: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     newest = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q.k == p.k))
     odd = F.transform(F.filter("e", lambda e: (e.std == "region") & ~F.regexp_like(e.text, F.lit("[a-zA-Z]"))), lambda e: F.lit("Value in region column is not a string"))
     wrong = F.when(F.col("bad").isNull(), F.array().cast("array<string>")).otherwise(F.array(F.format_string("Value in %s column is not valid", "bad.std")))
-    return r.select(
-        "doc_id", "table_ix", "row_ix", "group_ix", *[axis(k, a).alias(a) for k, a in enumerate(AXES)], *[named(a).alias(a) for a in ATTRIBUTES],
+    record = F.struct(
+        *[axis(k, a).alias(a) for k, a in enumerate(AXES)], *[named(a).alias(a) for a in ATTRIBUTES],
         F.when(F.col("bad").isNull(), F.col("record_groups")).otherwise(F.array().cast("array<string>")).alias("groups"), F.map_from_entries(newest).alias("columns"), F.concat(odd, wrong).alias("problems"),
     )
+    # out of an array of one, the record is made once; a filter on it would else be pushed down and make it again
+    return r.select("doc_id", "table_ix", "row_ix", "group_ix", F.explode(F.array(record)).alias("r")).select("doc_id", "table_ix", "row_ix", "group_ix", "r.*")
 
 
 def is_valid(x: str = "x", y: str = "y", z: str = "z") -> Column:
