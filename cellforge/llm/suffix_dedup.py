@@ -40,10 +40,14 @@ from pyspark.sql import functions as F
 from cellforge.llm.common import arrow_batches, stored
 
 LEAST, GRAM = 400, 128
+#: Runs of so short a period give anchors only to the windows within them.
+PERIOD = 32
 #: Different contexts of one anchor string that are sorted in one task, at most.
-GROUP = 200
+GROUP = 4_000
 #: Contexts that a worker sorts at once (a few groups more), and bytes that it hashes at once.
 CHUNK_ROWS, CHUNK_BYTES = 8_192, 1 << 20
+#: Parts of a long text overlap by so many bytes: all windows, and the runs around them, are whole in one of them.
+OVERLAP = 4_096
 #: Widths of the cells of window offsets.
 CELLS = (32, 8, 1)
 NO_ID = -(1 << 63)
@@ -70,16 +74,71 @@ def _sliding(x: np.ndarray, width: int, ufunc: np.ufunc, fill: int) -> np.ndarra
     return ufunc(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def _anchors(buffer: np.ndarray, spans: list[tuple[int, int]], least: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the anchors of windows that lie within one of spans."""
-    word, up, down = _tables()
+def periodic_runs(buffer: np.ndarray, sums: np.ndarray) -> list[tuple[int, int]]:
+    """Maximal runs of period PERIOD or less and of GRAM bytes or more, in order.
+
+    In such a run the smallest hash of 2 PERIOD bytes comes again one period later, before any smaller one.
+    """
+    half = 2 * PERIOD
     n = len(buffer)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(word[buffer] * up[:n], out=sums[1:])
-    h = (sums[gram:] - sums[:-gram]) * down[: n - gram + 1]
+    h = _hashes(sums, half)
+    if len(h) <= PERIOD + 1:
+        return []
+    ahead = _sliding(h[1:], PERIOD, np.minimum, (1 << 64) - 1)
+    ties = np.flatnonzero(h[: len(ahead)] == ahead)
+    if not len(ties):
+        return []
+    ahead = h[ties[:, None] + np.arange(1, PERIOD + 1)[None]] == h[ties][:, None]
+    found, done = [], -1
+    for i, d in zip(ties.tolist(), (ahead.argmax(1) + 1).tolist(), strict=True):
+        if i + half <= done:
+            continue
+        s, e, step = i, i + half, 256
+        while e < n:  # forward while each byte equals the one a period before
+            q = min(step, n - e)
+            differ = buffer[e : e + q] != buffer[e - d : e - d + q]
+            k = int(differ.argmax()) if differ.any() else q
+            e += k
+            if k < q:
+                break
+            step *= 4
+        step = 256
+        while s > 0:
+            q = min(step, s)
+            differ = (buffer[s - q : s] != buffer[s - q + d : s + d])[::-1]
+            k = int(differ.argmax()) if differ.any() else q
+            s -= k
+            if k < q:
+                break
+            step *= 4
+        done = e
+        if e - s >= GRAM:
+            found.append((s, e))
+    return found
+
+
+def _hashes(sums: np.ndarray, gram: int) -> np.ndarray:
+    _, _, down = _tables()
+    h = (sums[gram:] - sums[:-gram]) * down[: len(sums) - gram]
     h ^= h >> np.uint64(31)
     h *= _MIX
     h ^= h >> np.uint64(29)
+    return h
+
+
+def _anchors(buffer: np.ndarray, spans: list[tuple[int, int]], least: int, gram: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """Positions and hashes of the anchors of windows that lie within one of spans, and the periodic runs.
+
+    A gram within a periodic run comes after all others: its hash has the highest bit.
+    """
+    word, up, _ = _tables()
+    n = len(buffer)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(word[buffer] * up[:n], out=sums[1:])
+    h = _hashes(sums, gram) >> np.uint64(1)
+    runs = periodic_runs(buffer, sums) if gram == GRAM else []
+    for s, e in runs:
+        h[s : e - gram + 1] |= np.uint64(1 << 63)
     width = least - gram + 1
     low = _sliding(h, width, np.minimum, (1 << 64) - 1)
     valid = np.zeros(len(low), bool)
@@ -89,45 +148,46 @@ def _anchors(buffer: np.ndarray, spans: list[tuple[int, int]], least: int, gram:
     edge = np.zeros(width - 1, np.uint64)
     high = _sliding(np.concatenate([edge, low, edge]), width, np.maximum, 0)
     at = np.flatnonzero((h == high) & (high != 0))
-    return at, h[at]
+    return at, h[at], runs
 
 
-def anchors_of(texts: list[bytes], least: int = LEAST, gram: int = GRAM) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(index, positions, hashes) of the anchors of each text; long texts go through in overlapping parts."""
+def anchors_of(texts: list[bytes], least: int = LEAST, gram: int = GRAM) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(index, positions, hashes, starts, ends) of the anchors of each text, with the range of their contexts.
+
+    Long texts go through in overlapping parts, so an anchor may come twice.
+    """
     pack: list[tuple[int, int, bytes]] = []
+    size = 0
 
-    def flush() -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def flush() -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         ends = np.cumsum([len(p[2]) for p in pack]).tolist()
         starts = [0, *ends[:-1]]
-        at, h = _anchors(np.frombuffer(b"".join(p[2] for p in pack), np.uint8), list(zip(starts, ends, strict=True)), least, gram)
+        at, h, runs = _anchors(np.frombuffer(b"".join(p[2] for p in pack), np.uint8), list(zip(starts, ends, strict=True)), least, gram)
         cuts = np.searchsorted(at, [*starts, ends[-1]])
-        for (i, off, _), s, lo, hi in zip(pack, starts, cuts[:-1], cuts[1:], strict=True):
-            yield i, at[lo:hi] - s + off, h[lo:hi]
+        run_starts, run_ends = (np.array([r[k] for r in runs], np.int64) for k in (0, 1))
+        for (i, off, _), s, e, lo, hi in zip(pack, starts, ends, cuts[:-1], cuts[1:], strict=True):
+            p, g = at[lo:hi], h[lo:hi]
+            n = len(texts[i]) - off + s
+            first, last = np.maximum(p - (least - gram), s - off), np.minimum(p + least, n)
+            if len(runs) and (odd := g >= 1 << 63).any():
+                # windows with such an anchor lie within its run; the part's own ends bound runs here
+                k = np.searchsorted(run_starts, p[odd], side="right") - 1
+                first[odd] = np.maximum(np.maximum(run_starts[k], first[odd]), s)
+                last[odd] = np.minimum(np.minimum(run_ends[k], last[odd]), e)
+            yield i, p - s + off, g, first - s + off, last - s + off
 
-    size, parts = 0, []
     for i, t in enumerate(texts):
         if len(t) < least:
             continue
-        for off in range(0, len(t) - least + 1, CHUNK_BYTES - least):
+        for off in range(0, max(len(t) - OVERLAP, 1), CHUNK_BYTES - OVERLAP):
             part = t[off : off + CHUNK_BYTES]
             if pack and size + len(part) > CHUNK_BYTES:
-                parts += flush()
+                yield from flush()
                 pack, size = [], 0
             pack.append((i, off, part))
             size += len(part)
     if pack:
-        parts += flush()
-    last: tuple[int, np.ndarray, np.ndarray] | None = None
-    for i, at, h in parts:
-        if last and last[0] == i:  # overlapping parts find some anchors twice
-            at, first = np.unique(np.concatenate([last[1], at]), return_index=True)
-            last = (i, at, np.concatenate([last[2], h])[first])
-        else:
-            if last:
-                yield last
-            last = (i, at, h)
-    if last:
-        yield last
+        yield from flush()
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -135,7 +195,10 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def anchor_table(docs: DataFrame, least: int, gram: int) -> DataFrame:
-    """(d, h, pos, before, after, a, c): the anchors of each text, with the hash a of the anchor string and c of its context."""
+    """(d, h, pos, before, after, a, c, n): the anchors of each text, with the hash a of the anchor string and c of its context.
+
+    Equal contexts of a text are one row with n = 2, and rows without a that say which bytes they cover.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest
@@ -143,14 +206,21 @@ def anchor_table(docs: DataFrame, least: int, gram: int) -> DataFrame:
         for b in batches:
             texts = [t or b"" for t in b.column(2).to_pylist()]
             ds, hs = b.column(0).to_numpy(), b.column(1).to_numpy()
-            for i, at, h in anchors_of(texts, least, gram):
-                t, n = texts[i], len(at)
-                before, after = np.minimum(at, least - gram), np.minimum(len(t) - at, least)
-                c = np.array([xxh3_64_intdigest(t[x:y], seed) for x, y, seed in zip((at - before).tolist(), (at + after).tolist(), before.tolist(), strict=True)], np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(n, ds[i]), np.full(n, hs[i]), at.astype(np.int32), before.astype(np.int32), after.astype(np.int32), h.view(np.int64), c.view(np.int64))], ["d", "h", "pos", "before", "after", "a", "c"])
+            for i, at, h, first, last in anchors_of(texts, least, gram):
+                t = texts[i]
+                c = np.array([xxh3_64_intdigest(t[x:y], seed) for x, y, seed in zip(first.tolist(), last.tolist(), (at - first).tolist(), strict=True)], np.uint64)
+                _, one, again, n = np.unique(np.stack([h, c]), axis=1, return_index=True, return_inverse=True, return_counts=True)
+                twice = n[again.ravel()] > 1
+                local = merge([{"s": x, "e": y} for x, y in zip(first[twice].tolist(), last[twice].tolist(), strict=True)])
+                size = len(one) + len(local)
+                ends = np.array(local, np.int64).reshape(-1, 2)
+                cols = [np.full(size, ds[i]), np.full(size, hs[i])]
+                cols += [np.concatenate([x, y]).astype(np.int32) for x, y in ((at[one], ends[:, 0]), ((at - first)[one], ends[:, 0] * 0), ((last - at)[one], ends[:, 1] - ends[:, 0]))]
+                keys = [pa.array(np.concatenate([x[one].view(np.int64), ends[:, 0] * 0]), mask=np.arange(size) >= len(one)) for x in (h, c)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), *keys, pa.array(np.concatenate([np.minimum(n, 2), ends[:, 0] * 0]).astype(np.int32))], ["d", "h", "pos", "before", "after", "a", "c", "n"])
 
     arrow_batches(docs.sparkSession, 256)
-    return keyed(docs).select("_d", "_h", "_text").where(F.length("_text") >= least).mapInArrow(run, "d long, h long, pos int, before int, after int, a long, c long")
+    return keyed(docs).select("_d", "_h", "_text").where(F.length("_text") >= least).mapInArrow(run, "d long, h long, pos int, before int, after int, a long, c long, n int")
 
 
 def prefix_intervals(lcp: list[int], least: int = 1) -> Iterator[tuple[int, int, int]]:
@@ -280,9 +350,10 @@ def _counted_windows(contexts: DataFrame, least: int) -> DataFrame:
 def reaches(docs: DataFrame, anchors: DataFrame, least: int, gram: int) -> DataFrame:
     """(a, c, l, r): how far before and from its anchor a context is covered by repeated windows."""
     rep = F.min(F.struct("d", "h", "pos", "before", "after")).alias("rep")
-    each = stored(anchors.groupBy("a", "c").agg(F.count("*").alias("n"), rep), "contexts")
-    whole = each.where((F.col("n") > 1) & (F.col("rep.before") + F.col("rep.after") >= least)).select("a", "c", F.col("rep.before").alias("l"), F.col("rep.after").alias("r"))
-    mixed = each.groupBy("a").agg(F.count("*").alias("different")).where("different > 1")
+    each = stored(anchors.where("a IS NOT NULL").groupBy("a", "c").agg(F.sum("n").alias("n"), rep), "contexts")
+    whole = each.where("n > 1").select("a", "c", F.col("rep.before").alias("l"), F.col("rep.after").alias("r"))
+    # tables on both sides of a join are exchanges of their own, so adaptive execution can split a hot key
+    mixed = stored(each.groupBy("a").agg(F.count("*").alias("different")).where("different > 1"), "mixed")
     wanted = each.join(mixed, "a").select("rep.*", "a", "c", (F.col("different") > GROUP).alias("hot"))
     wanted = wanted.groupBy("d", "h").agg(F.collect_list(F.struct("pos", "before", "after", "a", "c", "hot")).alias("places"))
 
@@ -309,8 +380,9 @@ def reaches(docs: DataFrame, anchors: DataFrame, least: int, gram: int) -> DataF
 def spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
     """(d, h, spans) of each text with repeats: byte ranges (s, e) that cover what is repeated; they may overlap."""
     anchors = stored(anchor_table(docs, least, gram), "anchors")
-    hits = anchors.join(reaches(docs, anchors, least, gram), ["a", "c"]).select("d", "h", (F.col("pos") - F.col("l")).alias("s"), (F.col("pos") + F.col("r")).alias("e"))
-    return hits.groupBy("d", "h").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    hits = anchors.join(stored(reaches(docs, anchors, least, gram), "reaches"), ["a", "c"]).select("d", "h", (F.col("pos") - F.col("l")).alias("s"), (F.col("pos") + F.col("r")).alias("e"))
+    local = anchors.where("a IS NULL").select("d", "h", F.col("pos").alias("s"), (F.col("pos") + F.col("after")).alias("e"))
+    return hits.union(local).groupBy("d", "h").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
 
 def merge(ranges: list[dict]) -> list[tuple[int, int]]:
@@ -349,16 +421,20 @@ def removals(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame
 
 
 def cut_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
-    """docs with the repeated bytes cut out of text; a character that a cut splits is dropped."""
+    """docs with the repeated bytes cut out of text, all columns kept; a character that a cut splits is dropped."""
     found = spans(docs, least, gram)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = b.schema.get_field_index("text")
-            texts = [t if not x else _kept(t.encode(), merge(x)).decode("utf-8", "ignore") for t, x in zip(b.column(at).to_pylist(), b.column(len(names)).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else b.column(i) for i in range(len(names))], names)
+            rows = b.column(0)
+            cols = [rows.field(i) for i in range(len(names))]
+            at = names.index("text")
+            texts = [t if not x else _kept(t.encode(), merge(x)).decode("utf-8", "ignore") for t, x in zip(cols[at].to_pylist(), b.column(1).to_pylist(), strict=True)]
+            cols[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(cols, names)
 
     arrow_batches(docs.sparkSession, 256)
-    joined = keyed(docs).join(found.select(F.col("d").alias("_d"), F.col("h").alias("_h"), "spans"), ["_d", "_h"], "left")
-    return joined.select(*[f"`{n}`" for n in names], "spans").mapInArrow(run, docs.schema)
+    rows = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"))
+    rows = rows.select("row", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64(F.col("row.text").cast("string")).alias("h"))
+    return rows.join(found, ["d", "h"], "left").select("row", "spans").mapInArrow(run, docs.schema)
