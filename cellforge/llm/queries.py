@@ -60,7 +60,7 @@ GOOD = 0.7
 def op5_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = rule_quality.fit(docs, table(spark, sf_dir, "labels"))
-    held = rule_quality.fold() == rule_quality.HELD_OUT
+    held = F.coalesce(rule_quality.fold() == rule_quality.HELD_OUT, F.lit(False))
     return rule_quality.score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
 
 

@@ -12,7 +12,7 @@ on the partitions. Labels, lang, source and doc_id are never inputs of a score.
 
 Null and empty texts have all statistics zero and get a score. Rows without a label are scored too;
 labels that are null are not learnt. A null doc_id is not held out and not learnt from. Rows that
-repeat are scored alike, extra columns are ignored. With no labelled rows the score is 0.5; with one
+repeat are scored alike; extra columns are kept, but for stats, _bytes and score, which are replaced. With no labelled rows the score is 0.5; with one
 class it is that class's (smoothed) share.
 """
 
