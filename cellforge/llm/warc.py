@@ -76,7 +76,8 @@ def plan(pages: DataFrame, dedup_bytes: int = 0) -> DataFrame:
     """page_id, url, payload, record_type and refers_to of each row of pages (page_id, url, html)."""
     each = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload")).withColumn("sha", F.unhex(F.sha1("payload")))
     equal = stored(each.where(F.length("payload") >= dedup_bytes).groupBy("page_id", "url", "sha").agg(F.count("*").alias("n")), "warc_rows")
-    top = equal.groupBy("sha").agg(F.max(F.struct("page_id", "url", "n")).alias("top"), F.sum("n").alias("copies")).where("copies > 1")
+    # read from a table, so that adaptive execution can split the pages of one payload
+    top = stored(equal.groupBy("sha").agg(F.max(F.struct("page_id", "url", "n")).alias("top"), F.sum("n").alias("copies")).where("copies > 1"), "warc_firsts")
     of = each.join(top, "sha", "left").withColumn("first", F.col("top").isNotNull() & F.col("page_id").eqNullSafe(F.col("top.page_id")) & F.col("url").eqNullSafe(F.col("top.url")))
     again = F.col("top").isNotNull() & (F.length("payload") >= dedup_bytes) & ~F.col("first")
     kind = lambda revisit: [F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("top.page_id")).alias("refers_to")]
