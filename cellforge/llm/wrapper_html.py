@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellforge.functions.dom import Node, parse
-from cellforge.llm.common import arrow_batches
+from cellforge.llm.common import arrow_batches, stored
 
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 SKIP = frozenset("script style noscript template iframe svg canvas object embed audio video head title meta link nav footer aside form button select input textarea dialog menu".split())
@@ -239,4 +239,6 @@ def extract(pages: DataFrame) -> DataFrame:
     p = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).withColumn("host", host())
     of = F.struct(F.coalesce("page_id", F.lit(0)), "html")
     refs = p.where(F.length("html") > 0).groupBy("host").agg(F.min(of).alias("low"), F.max(of).alias("high")).select("host", F.col("low.html").alias("low"), F.col("high.html").alias("high"))
+    # read from a table, the references are an exchange of their own, and adaptive execution can split a hot host's pages
+    refs = stored(refs, "references")
     return p.join(refs, "host", "left").select("page_id", "url", "html", "low", "high").mapInArrow(run, "page_id long, url string, text string, n_chars long")
