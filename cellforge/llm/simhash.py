@@ -81,7 +81,8 @@ def links(fps: DataFrame) -> DataFrame:
     Every linked pair is connected by the links, though not each pair has a row of its own.
     """
     keyed = fps.select("fp", F.explode(_block_keys()).alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    # read from a table, the counts are an exchange of their own, and adaptive execution can split a crowded bucket
+    shared = stored(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     met = stored(keyed.join(shared, "key"), "blocks")
     near = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= BITS
     small = met.where(F.col("n") <= BUCKET).groupBy("key").agg(F.array_sort(F.collect_list("fp")).alias("fps"))
@@ -109,6 +110,7 @@ def keep_one(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
     Rows of equal doc_id and text are one document. Rows with a null doc_id go where their group has a
     document with an id, and stay otherwise.
     """
-    first = near_duplicates(docs, words, seed).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
-    return kept.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    first = near_duplicates(docs, words, seed).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).select("row", F.col("row.doc_id").alias("d"), F.xxhash64("row.text").alias("h"))
+    kept = rows.join(first, F.col("d").eqNullSafe(F.col("first")), "left_semi")
+    return kept.dropDuplicates(["d", "h"]).select("row.*")
