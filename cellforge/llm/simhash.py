@@ -110,7 +110,12 @@ def keep_one(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
     Rows of equal doc_id and text are one document. Rows with a null doc_id go where their group has a
     document with an id, and stay otherwise.
     """
-    first = near_duplicates(docs, words, seed).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first")).distinct()
+    return keep_first(docs, near_duplicates(docs, words, seed))
+
+
+def keep_first(docs: DataFrame, judged: DataFrame) -> DataFrame:
+    """The rows of docs that judged (doc_id, component_id) names a component by, once each."""
+    first = judged.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first")).distinct()
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).select("row", F.col("row.doc_id").alias("d"), F.xxhash64("row.text").alias("h"))
     kept = rows.join(first, F.col("d").eqNullSafe(F.col("first")), "left_semi")
     return kept.dropDuplicates(["d", "h"]).select("row.*")
