@@ -154,8 +154,33 @@ def _anchors(buffer: np.ndarray, spans: list[tuple[int, int]], least: int, gram:
 def anchors_of(texts: list[bytes], least: int = LEAST, gram: int = GRAM) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(index, positions, hashes, starts, ends) of the anchors of each text, with the range of their contexts.
 
-    Long texts go through in overlapping parts, so an anchor may come twice.
+    Long texts go through in overlapping parts; an anchor of two parts is one.
     """
+    held: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+    for found in _part_anchors(texts, least, gram):
+        if held and held[0][0] != found[0]:
+            yield _one_each(held)
+            held = []
+        held.append(found)
+    if held:
+        yield _one_each(held)
+
+
+def _one_each(parts: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The anchors of a text's parts, one for each position; runs that a part's end cuts reach as far as in either part."""
+    if len(parts) == 1:
+        return parts[0]
+    at, h, first, last = (np.concatenate([p[k] for p in parts]) for k in range(1, 5))
+    order = np.lexsort((h, at))
+    at, h, first, last = at[order], h[order], first[order], last[order]
+    new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (h[1:] != h[:-1])])) if len(at) else np.zeros(0, int)
+    if len(new) == len(at):
+        return parts[0][0], at, h, first, last
+    return parts[0][0], at[new], h[new], np.minimum.reduceat(first, new), np.maximum.reduceat(last, new)
+
+
+def _part_anchors(texts: list[bytes], least: int, gram: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """As `anchors_of`, for each part of a text in turn."""
     pack: list[tuple[int, int, bytes]] = []
     size = 0
 

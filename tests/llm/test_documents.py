@@ -250,3 +250,13 @@ def test_empty_tables(spark, none):
 def test_no_items(spark, docs):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert positional_index.decontaminate(docs, bench).where("contaminated").count() == 0
+
+
+def test_text_over_a_mebibyte(spark):
+    rng = random.Random(3)  # nothing patched: Python workers split it where the parts overlap
+    long = "".join(rng.choices("abcdefgh xyz", k=2_500_000))
+    at = suffix_dedup.CHUNK_BYTES - 2_000
+    rows = [(1, long), (2, "Q" + long[at : at + 700] + "Q")]
+    got = {r.doc_id: r for r in suffix_dedup.removals(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[1].n_removed, got[1].n_spans) == (700, 1) and got[2].n_removed == 700
+    assert {r.doc_id: len(r.text) for r in suffix_dedup.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {1: 2_499_300, 2: 2}
