@@ -3,9 +3,10 @@
 Each page is aligned with another page of its host by simple tree matching: the DOM trees, without inline
 tags, are matched from the root, children in order, so that the number of matched nodes is largest. A
 matched node with equal text on both pages is constant and belongs to the host's template; matched nodes
-with differing text, and nodes without a match, are varying slots. Every host has two reference pages, those
-of smallest and largest page_id; a page is aligned with the first one that differs from it, so a host with
-any number of pages needs one join and no page is compared with all others.
+with differing text, and nodes without a match, are varying slots. Every host has reference pages, chosen by
+hashes of their html, so that two of them differ wherever two pages of the host do; a page is aligned with the
+first one that differs from it, so a host with any number of pages needs one join and no page is compared with
+all others.
 
 The content is the page's main region: an article or main element where there is one, else the deepest
 element that holds nearly all text of the varying slots. In a region of the second kind constant nodes
@@ -230,15 +231,15 @@ def extract(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = []
-            for html, low, high in zip(*(b.column(n).to_pylist() for n in ("html", "low", "high")), strict=True):
-                other = next((o for o in (low, high) if o and o != html), None)
+            for html, *refs in zip(*(b.column(n).to_pylist() for n in ("html", "low", "high", "third")), strict=True):
+                other = next((o for o in refs if o and o != html), None)
                 texts.append(main_text(html or "", other))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     arrow_batches(pages.sparkSession, 128)
     p = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).withColumn("host", host())
-    of = F.struct(F.coalesce("page_id", F.lit(0)), "html")
-    refs = p.where(F.length("html") > 0).groupBy("host").agg(F.min(of).alias("low"), F.max(of).alias("high")).select("host", F.col("low.html").alias("low"), F.col("high.html").alias("high"))
+    of = lambda i: F.struct(F.xxhash64(F.lit(i), "html"), "html")
+    refs = p.where(F.length("html") > 0).groupBy("host").agg(F.min(of(0)).alias("low"), F.max(of(0)).alias("high"), F.min(of(1)).alias("third")).select("host", *(F.col(f"{n}.html").alias(n) for n in ("low", "high", "third")))
     # read from a table, the references are an exchange of their own, and adaptive execution can split a hot host's pages
     refs = stored(refs, "references")
-    return p.join(refs, "host", "left").select("page_id", "url", "html", "low", "high").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return p.join(refs, "host", "left").select("page_id", "url", "html", "low", "high", "third").mapInArrow(run, "page_id long, url string, text string, n_chars long")

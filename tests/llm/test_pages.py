@@ -126,6 +126,13 @@ def test_template_of_a_host_is_left_out():
     assert wrapper_html.main_text("<article>" + deep + "</article>", None) == "text"
 
 
+def test_copies_at_both_ends_of_a_host(spark):
+    page = "<html><body><div><div><p>{}</p><p>Always the same line</p></div></div></body></html>"
+    rows = [(i, "http://h.org/", page.format(t)) for i, t in enumerate(["First words of one", "Other words here", "Third", "First words of one"])]
+    got = {r.page_id: r.text for r in wrapper_html.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {0: "First words of one", 1: "Other words here", 2: "Third", 3: "First words of one"}
+
+
 def test_vectors(spark, monkeypatch):
     monkeypatch.setattr(sphere_cells, "CELL_ROWS", 40)
     monkeypatch.setattr(sphere_cells, "BLOCK", 16)
