@@ -5,13 +5,13 @@ tags, are matched from the root, children in order, so that the number of matche
 matched node with equal text on both pages is constant and belongs to the host's template; matched nodes
 with differing text, and nodes without a match, are varying slots. Every host has reference pages, chosen by
 hashes of their html, so that two of them differ wherever two pages of the host do; a page is aligned with the
-first one that differs from it, so a host with any number of pages needs one join and no page is compared with
+first one or two that differ from it, so a host with any number of pages needs one join and no page is compared with
 all others.
 
 The content is the page's main region: an article or main element where there is one, else the deepest
-element that holds nearly all text of the varying slots. In a region of the second kind constant nodes
-are left out; an article is kept whole, since copies of an article on one host would otherwise be taken for
-template. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are
+element that holds nearly all text of the varying slots. Constant nodes are left out. In an article that
+takes two other pages, since two articles may share a line or a passage, and an article of which COPY or more
+is constant is kept whole: the pages have copies of one article. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are
 left out by element, role and class names anywhere. A single page of a host is read by these names alone.
 
 Text inside a block has its white space as one space and is trimmed; blocks are joined by one space.
@@ -43,6 +43,8 @@ NAMES = frozenset(
 _SPLIT = re.compile(r"[-_\s]+|(?<=[a-z])(?=[A-Z])")
 #: Share of the varying text that the content region must hold.
 REGION = 0.8
+#: Share of an article's text that is constant where pages have copies of one article.
+COPY = 0.5
 #: A tree that is larger is aligned by order of equal labels, which needs no table of all pairs of children.
 ALIGN = 400
 
@@ -196,8 +198,15 @@ def _varying(b: Block) -> dict[int, int]:
     return sizes
 
 
-def main_text(html: str, other: str | None) -> str:
-    """The main text of a page, with another page of its host or None."""
+def _all_blocks(b: Block) -> list[Block]:
+    order = [b]
+    for x in order:
+        order += x.kids
+    return order
+
+
+def main_text(html: str, other: str | None, third: str | None = None) -> str:
+    """The main text of a page, with another page or two of its host or None."""
     if not html:
         return ""
     page = blocks(parse(html))
@@ -211,6 +220,17 @@ def main_text(html: str, other: str | None) -> str:
     if other:
         align(page, blocks(parse(other)))
     if regions:
+        if third:  # constant is what both pages have
+            inside = [b for r in regions for b in _all_blocks(r)]
+            once = [b.constant for b in inside]
+            for b in inside:
+                b.constant = False
+            align(page, blocks(parse(third)))
+            for b, c in zip(inside, once, strict=True):
+                b.constant &= c
+            size = sum(r.size for r in regions)
+            if size - sum(_varying(r)[id(r)] for r in regions) < COPY * size:
+                return " ".join(t for r in regions for t in _spelt(r, True))
         return " ".join(t for r in regions for t in _spelt(r, False))
     sizes = _varying(page)
     if not sizes[id(page)]:
@@ -232,8 +252,8 @@ def extract(pages: DataFrame) -> DataFrame:
         for b in batches:
             texts = []
             for html, *refs in zip(*(b.column(n).to_pylist() for n in ("html", "low", "high", "third")), strict=True):
-                other = next((o for o in refs if o and o != html), None)
-                texts.append(main_text(html or "", other))
+                others = [o for o in dict.fromkeys(refs) if o and o != html]
+                texts.append(main_text(html or "", *(others + [None] * 2)[:2]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     arrow_batches(pages.sparkSession, 128)

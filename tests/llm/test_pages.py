@@ -126,6 +126,15 @@ def test_template_of_a_host_is_left_out():
     assert wrapper_html.main_text("<article>" + deep + "</article>", None) == "text"
 
 
+def test_template_lines_of_an_article_are_left_out():
+    page = "<html><body><article><h1>{}</h1><p>Share this story now</p><p>{}</p><p>Read more on our site</p></article></body></html>"
+    x, y, z = page.format("One head", "The first body of words, longer than the lines around it"), page.format("Two", "Quite another body"), page.format("Three", "A third")
+    assert wrapper_html.main_text(x, y, z) == "One head The first body of words, longer than the lines around it"
+    copy = x.replace("One head", "One head, again")
+    assert wrapper_html.main_text(x, copy, copy.replace("again", "again!")).startswith("One head Share this story now The first body")  # copies of one article
+    assert "Share this story now" in wrapper_html.main_text(x, y)  # two articles may share a line
+
+
 def test_copies_at_both_ends_of_a_host(spark):
     page = "<html><body><div><div><p>{}</p><p>Always the same line</p></div></div></body></html>"
     rows = [(i, "http://h.org/", page.format(t)) for i, t in enumerate(["First words of one", "Other words here", "Third", "First words of one"])]
