@@ -3,10 +3,10 @@
 Equal vectors are one row from the start, with a count. Cell centres are fit on at most SAMPLE of the
 distinct vectors (those of smallest hash); every vector is assigned. A vector's home is the cell of
 the nearest centre; it also visits each cell of smaller number to whose bisector it stands within MARGIN.
-Two vectors of cosine t are sqrt(2 - 2 t) apart at most, so that margin (0.3163 at 0.95) finds all
-pairs, but in many dimensions most vectors stand so near to most bisectors. The difference of two near
-vectors, 0.3 long at most, has a share of about 0.3 / sqrt(dimensions) in the direction of a bisector; at
-MARGIN 0.12 none of the pairs of the check tables is missed (tests hold the recall above 0.99). Each pair is met in one cell only: home with home, or home with visitor.
+Two vectors of cosine t are sqrt(2 - 2 t) apart at most and stand on two sides of their homes' bisector, so
+MARGIN, that distance at 0.95, finds all pairs, whatever way their difference points. In many dimensions
+most vectors stand so near to many bisectors; a smaller margin would lose pairs of few dimensions.
+Each pair is met in one cell only: home with home, or home with visitor.
 
 A cell's rows are dealt into blocks of BLOCK rows by hash, and each pair of blocks is a task of its own:
 cosines in double precision, link counts per row, and a forest that connects what links connect (no more
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from cellforge.llm.common import components, stored
 
-LEAST, MARGIN = 0.95, 0.12
+LEAST, MARGIN = 0.95, 0.3163
 #: Vectors to fit centres on, centres, and rows of a cell to aim at.
 SAMPLE, CENTRES, CELL_ROWS, STEPS = 20_000, 1_024, 1_500, 12
 #: Rows of a block.

@@ -189,6 +189,15 @@ def test_recall_at_the_default_margin(spark):
     assert links > 500 and 0.99 * links <= found <= links
 
 
+def test_no_pair_of_few_dimensions_is_missed(spark, monkeypatch):
+    monkeypatch.setattr(sphere_cells, "CELL_ROWS", 20)
+    angle = np.random.default_rng(6).uniform(0, 2 * np.pi, 400)
+    x = np.stack([np.cos(angle), np.sin(angle), *[np.zeros(400)] * 14], axis=1)  # differences point straight at bisectors
+    links = (x @ x.T >= 0.95).sum() - len(x)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert sphere_cells.near_duplicates(df).agg({"n_links": "sum"}).first()[0] == links
+
+
 def test_chat(spark):
     rng = random.Random(1)
     convs = {i: [(rng.choice(["user", "assistant"]), rng.choice("abc")) for _ in range(rng.randrange(1, 5))] for i in range(60)}
