@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import sys
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,29 +28,108 @@ def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; one is made only where the cluster names none (tests)."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir, or on one machine (tests) a folder of its own."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and sc.getCheckpointDir() is None and not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="cellforge-"))
     return (named or sc.getCheckpointDir()).rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialises df in the shared folder; later steps survive lost executors and don't compute it again."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: Paths that scratch() gave, by application, in order.
+_MADE: dict[str, list[str]] = {}
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path of its own in the shared folder; what is still there when the driver ends is deleted."""
+    path = f"{shared_dir(spark)}/cellforge-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    _paths(spark).append(path)
+    return path
+
+
+def _paths(spark: SparkSession) -> list[str]:
+    app = spark.sparkContext.applicationId
+    if app not in _MADE:
+        _MADE[app] = []
+        atexit.register(_forget, spark, app)
+    return _MADE[app]
+
+
+def _forget(spark: SparkSession, app: str) -> None:
+    try:
+        if spark.sparkContext._jsc is not None:
+            drop(spark, _MADE.pop(app, []))
+    except Exception as e:  # the application ended before its driver did
+        print(f"tables of {app} may be left: {type(e).__name__}", file=sys.stderr)
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables that scratch() named."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    for p in paths:
+        at = path(p)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextlib.contextmanager
+def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables stored within are deleted at the end, but for those stored by the function that this gives."""
+    paths = _paths(spark)
+    before, kept = len(paths), []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = stored(df, name)
+        kept.append(paths[-1])
+        return out
+
+    try:
+        yield keep
+    finally:
+        own = [p for p in paths[before:] if p not in kept]
+        paths[before:] = kept
+        drop(spark, own)
+
+
+def made(spark: SparkSession) -> set[str]:
+    """The stored tables that are still there."""
+    return set(_paths(spark))
+
+
+def release(spark: SparkSession, tables: set[str], docs: DataFrame) -> None:
+    """Deletes tables, if docs is read from files and from none of them: what was derived from them has been written."""
+    leaves = docs._jdf.queryExecution().analyzed().collectLeaves()
+    roots = []
+    for leaf in (leaves.apply(i) for i in range(leaves.size())):
+        if leaf.getClass().getSimpleName() != "LogicalRelation" or leaf.relation().getClass().getSimpleName() != "HadoopFsRelation":
+            return
+        found = leaf.relation().location().rootPaths()
+        roots += [found.apply(i).toString() for i in range(found.size())]
+    tail = lambda p: p.rstrip("/").rsplit("/", 1)[-1]
+    own = _paths(spark)
+    if not {tail(r) for r in roots} & {tail(t) for t in tables}:
+        drop(spark, [t for t in own if t in tables])
+        own[:] = [t for t in own if t not in tables]
+
+
+#: Whether the shuffle files of a query go when it ends. What is stored is read from its table from then on.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a Parquet table in the shared folder and reads it again: smaller than a checkpoint."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Writes df as a Parquet table in the shared folder and reads it again.
+
+    Later steps survive lost executors and don't compute it again, and its shuffle files go at once.
+    """
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    before = spark.conf.get(FREE_SHUFFLES)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -54,7 +137,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps; each is one aggregation of minima with map-side
     combine and one equi-join, so that a node with very many edges never gathers in a task
-    (adaptive execution splits the join's hot key). Every round is cut in the shared folder.
+    (adaptive execution splits the join's hot key). Every round is a table in the shared folder.
     """
 
     def star(pairs: DataFrame, large: bool) -> DataFrame:
@@ -74,13 +157,15 @@ def components(edges: DataFrame) -> DataFrame:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
     pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
-    pairs = cut(pairs)
-    before = mark(pairs)
-    for _ in range(MAX_ROUNDS):
-        pairs = cut(star(star(pairs, True), False))
-        now = mark(pairs)
-        if now == before:
-            roots = pairs.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-            return pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
-        before = now
+    with temporary(edges.sparkSession) as keep:
+        pairs = stored(pairs, "round")
+        before = mark(pairs)
+        for _ in range(MAX_ROUNDS):
+            with temporary(edges.sparkSession) as own:
+                pairs = own(star(stored(star(pairs, True), "half"), False), "round")
+            now = mark(pairs)
+            if now == before:
+                roots = pairs.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+                return keep(pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots), "roots")
+            before = now
     raise RuntimeError(f"components didn't settle in {MAX_ROUNDS} rounds")

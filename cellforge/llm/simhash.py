@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellforge.llm.common import arrow_batches, components, stored
+from cellforge.llm.common import arrow_batches, components, stored, temporary
 
 #: Largest bucket that is verified pair by pair.
 BUCKET = 64
@@ -52,6 +52,11 @@ def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
         starts = np.concatenate([[0], ends[:-words]]).tolist()
         ends = (ends[words - 1 :] - 1).tolist()
         hashes = b"".join([xxh64_digest(joined[s:e], seed) for s, e in zip(starts, ends, strict=True)])
+    return majority(hashes)
+
+
+def majority(hashes: bytes) -> int:
+    """The bits that are set in over half of the 64-bit hashes (big-endian), as a signed integer."""
     columns = np.frombuffer(hashes, np.uint8).reshape(-1, 8)
     counts = np.concatenate([np.bincount(columns[:, i], minlength=256) @ BYTE_BITS for i in range(8)])
     return int.from_bytes(np.packbits(2 * counts > len(columns)).tobytes(), "big", signed=True)
@@ -97,7 +102,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFram
     """doc_id, fingerprint (16 hex digits) and component_id (the smallest doc_id reachable) of each row."""
     each = stored(fingerprints(docs, words, seed), "fingerprints")
     fps = stored(each.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = components(links(fps.select("fp")))
+    with temporary(docs.sparkSession) as keep:
+        roots = keep(components(links(fps.select("fp"))), "roots")
     rooted = fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of = rooted.join(named, "root").select("fp", "component_id")
