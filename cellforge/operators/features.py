@@ -8,22 +8,30 @@ from pyspark.sql import functions as F
 WORD = r"(?U)\b\w\w+\b"
 
 
-def terms(text: str, ngrams: tuple[int, int] = (1, 1), stop_words: list[str] | None = None, pattern: str = WORD) -> Column:
-    """The lower-cased words of two characters or more of a text, and their n-grams."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(pattern), F.lit(0))
-    if stop_words:
-        words = F.filter(words, lambda w: ~w.isin(*stop_words))
-    grams = [F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1))), _gram(words, n)) for n in range(ngrams[0], ngrams[1] + 1)]
-    return words if ngrams == (1, 1) else F.filter(F.flatten(F.array(*grams)), lambda g: g.isNotNull())
+def words(text: str, stop_words: list[str] | None = None, pattern: str = WORD) -> Column:
+    """The lower-cased words of two characters or more of a text."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(pattern), F.lit(0))
+    return F.filter(found, lambda w: ~w.isin(*stop_words)) if stop_words else found
 
 
-def _gram(words: Column, n: int):  # noqa: ANN202
-    return lambda i: F.when(i + n - 1 <= F.size(words), F.array_join(F.slice(words, i, n), " "))
+def grams(found: str, ngrams: tuple[int, int]) -> Column:
+    """The n-grams of the array of words in column found."""
+    size = F.size(found)
 
+    def of(n: int) -> Column:
+        starts = F.when(size >= n, F.sequence(F.lit(1), size - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(found, i, n), " "))
 
-def counts(docs: DataFrame, key: str, text: str, **options: object) -> DataFrame:
-    """(key, term, n) of each term of a document; options as in `terms`."""
-    return docs.select(key, F.explode(terms(text, **options)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
+    return F.flatten(F.array(*map(of, range(ngrams[0], ngrams[1] + 1))))
+
+
+def counts(docs: DataFrame, key: str, text: str, ngrams: tuple[int, int] = (1, 1), **options: object) -> DataFrame:
+    """(key, term, n) of each term of a document: its words, or n-grams of them; options as in `words`."""
+    if ngrams == (1, 1):
+        each = docs.select(key, F.explode(words(text, **options)).alias("term"))
+    else:  # out of an array of one, the words are made once, not again for each gram
+        each = docs.select(key, F.explode(F.array(words(text, **options))).alias("_words")).select(key, F.explode(grams("_words", ngrams)).alias("term"))
+    return each.groupBy(key, "term").agg(F.count("*").alias("n"))
 
 
 def vocabulary(found: DataFrame, n_docs: int, min_df: float = 1, max_df: float = 1.0, listed: list[str] | None = None) -> DataFrame:
