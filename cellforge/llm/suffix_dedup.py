@@ -12,9 +12,10 @@ removed. Texts are whole UTF-8 bytes; matches never cross texts.
    compared, each by one representative.
 3. Suffix arrays. The contexts of an anchor string are sorted from the anchor on; a scan of the array of
    common prefixes with a stack yields the tree of common-prefix intervals. In each interval the left
-   contexts are sorted too, and left-extension diversity splits the members into maximal repeat
-   groups with all their occurrences: group members share depth + left extension >= least bytes.
-   The groups give each context the reach (bytes before and after its anchor) that is repeated.
+   contexts are sorted and scanned too, and left-extension diversity splits the members into maximal
+   repeat groups with all their occurrences: members share depth + left extension >= least bytes, and
+   not all of them a byte more on either side. `maximal_repeats` lists the groups; for the removal they
+   give each context the reach (bytes before and after its anchor) that is repeated.
 4. An anchor string with more than GROUP different contexts (a passage in very many texts) isn't gathered in
    a task. Its contexts are refined by counting: cells of 32, then 8, then single window offsets
    are kept while their common core occurs in two contexts; what is left are exactly the windows
@@ -29,7 +30,7 @@ are ignored by `removals` and kept by `cut_repeats`. An empty table gives an emp
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -37,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellforge.llm.common import arrow_batches, stored
+from cellforge.llm.common import arrow_batches, stored, temporary
 
 LEAST, GRAM = 400, 128
 #: Runs of so short a period give anchors only to the windows within them.
@@ -74,8 +75,8 @@ def _sliding(x: np.ndarray, width: int, ufunc: np.ufunc, fill: int) -> np.ndarra
     return ufunc(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def periodic_runs(buffer: np.ndarray, sums: np.ndarray) -> list[tuple[int, int]]:
-    """Maximal runs of period PERIOD or less and of GRAM bytes or more, in order.
+def periodic_runs(buffer: np.ndarray, sums: np.ndarray, gram: int = GRAM) -> list[tuple[int, int]]:
+    """Maximal runs of period PERIOD or less and of gram bytes or more, in order.
 
     In such a run the smallest hash of 2 PERIOD bytes comes again one period later, before any smaller one.
     """
@@ -112,7 +113,7 @@ def periodic_runs(buffer: np.ndarray, sums: np.ndarray) -> list[tuple[int, int]]
                 break
             step *= 4
         done = e
-        if e - s >= GRAM:
+        if e - s >= gram:
             found.append((s, e))
     return found
 
@@ -136,7 +137,7 @@ def _anchors(buffer: np.ndarray, spans: list[tuple[int, int]], least: int, gram:
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(word[buffer] * up[:n], out=sums[1:])
     h = _hashes(sums, gram) >> np.uint64(1)
-    runs = periodic_runs(buffer, sums) if gram == GRAM else []
+    runs = periodic_runs(buffer, sums, gram) if gram >= 2 * PERIOD else []
     for s, e in runs:
         h[s : e - gram + 1] |= np.uint64(1 << 63)
     width = least - gram + 1
@@ -219,10 +220,10 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_h", F.xxhash64(F.col("text").cast("string"))).withColumn("_text", F.col("text").cast("string").cast("binary"))
 
 
-def anchor_table(docs: DataFrame, least: int, gram: int) -> DataFrame:
+def anchor_table(docs: DataFrame, least: int, gram: int, every: bool = False) -> DataFrame:
     """(d, h, pos, before, after, a, c, n): the anchors of each text, with the hash a of the anchor string and c of its context.
 
-    Equal contexts of a text are one row with n = 2, and rows without a that say which bytes they cover.
+    Equal contexts of a text are one row with n = 2, and rows without a that say which bytes they cover; with `every` each is a row.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,8 +235,11 @@ def anchor_table(docs: DataFrame, least: int, gram: int) -> DataFrame:
             for i, at, h, first, last in anchors_of(texts, least, gram):
                 t = texts[i]
                 c = np.array([xxh3_64_intdigest(t[x:y], seed) for x, y, seed in zip(first.tolist(), last.tolist(), (at - first).tolist(), strict=True)], np.uint64)
-                _, one, again, n = np.unique(np.stack([h, c]), axis=1, return_index=True, return_inverse=True, return_counts=True)
-                twice = n[again.ravel()] > 1
+                if every:
+                    one, n, twice = np.arange(len(at)), np.ones(len(at), int), np.zeros(len(at), bool)
+                else:
+                    _, one, again, n = np.unique(np.stack([h, c]), axis=1, return_index=True, return_inverse=True, return_counts=True)
+                    twice = n[again.ravel()] > 1
                 local = merge([{"s": x, "e": y} for x, y in zip(first[twice].tolist(), last[twice].tolist(), strict=True)])
                 size = len(one) + len(local)
                 ends = np.array(local, np.int64).reshape(-1, 2)
@@ -272,71 +276,127 @@ def _matrix(parts: list[bytes], width: int) -> np.ndarray:
     return np.frombuffer(b"".join(p.ljust(width, b"\0") for p in parts), np.uint8).reshape(len(parts), width)
 
 
-def repeat_reach(a: np.ndarray, before: np.ndarray, contexts: list[bytes], least: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes before and from its anchor that each context shares, over windows of `least`, with another one of its anchor string."""
+#: Members in the order of their left contexts, the bytes that they share from the anchor, and (left, first, last): groups among them that share left bytes before it.
+Groups = tuple[np.ndarray, int, list[tuple[int, int, int]]]
+
+
+def repeat_groups(a: np.ndarray, before: np.ndarray, contexts: list[bytes], least: int, gram: int) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], Iterator[Groups]]:
+    """The maximal repeat groups among contexts: groups of two as (left, depth, members) arrays, and the others.
+
+    An interval of the common-prefix tree is a set of contexts that share depth bytes, and not all of them more. Within
+    it the left contexts are sorted and scanned in the same way: members that share left bytes, and not all of them
+    more, differ in the byte before (or have none). A group whose members all share more than depth is left to the deeper interval.
+    """
     left = _matrix([x[:b][::-1] for x, b in zip(contexts, before.tolist(), strict=True)], least - gram)
     right = _matrix([x[b:] for x, b in zip(contexts, before.tolist(), strict=True)], least)
     after = np.fromiter(map(len, contexts), int, len(contexts)) - before
     order = np.lexsort((right.view(f"S{least}").ravel(), a))
+    place = np.empty(len(a), int)
+    place[order] = np.arange(len(a))
     rank = np.empty(len(a), int)
     rank[np.argsort(left.view(f"S{least - gram}").ravel(), kind="stable")] = np.arange(len(a))
     lcp = np.zeros(len(a), int)
     lcp[1:] = np.where(a[order[1:]] == a[order[:-1]], _common(right, after, order[1:], order[:-1]), 0)
-    reach_l, reach_r = np.zeros(len(a), int), np.zeros(len(a), int)
+    tree = list(prefix_intervals(lcp.tolist(), gram))
 
-    def take(rows: np.ndarray, shared: np.ndarray, depth: np.ndarray | int) -> None:
-        ok = shared + depth >= least
-        rows, depth = rows[ok], depth[ok] if isinstance(depth, np.ndarray) else depth
-        np.maximum.at(reach_l, rows, shared[ok])
-        np.maximum.at(reach_r, rows, depth)
+    two = np.array([(depth, first) for depth, first, last in tree if last == first + 1], int).reshape(-1, 2)
+    x, y = order[two[:, 1]], order[two[:, 1] + 1]
+    shared = _common(left, before, x, y)
+    ok = shared + two[:, 0] >= least
 
-    pairs = []
-    for depth, first, last in prefix_intervals(lcp.tolist(), gram):
-        if last == first + 1:
-            pairs.append((depth, first))
-            continue
-        rows = order[first : last + 1]
-        rows = rows[np.argsort(rank[rows])]
-        shared = _common(left, before, rows[1:], rows[:-1])
-        # neighbours by left context with room for a window are in one group; each member reaches as far as its nearest
-        take(rows[1:], shared, depth)
-        take(rows[:-1], shared, depth)
-    if pairs:
-        depth, first = np.array(pairs).T
-        x, y = order[first], order[first + 1]
-        shared = _common(left, before, x, y)
-        take(x, shared, depth)
-        take(y, shared, depth)
-    return reach_l, reach_r
+    def larger() -> Iterator[Groups]:
+        for depth, first, last in tree:
+            if last == first + 1:
+                continue
+            rows = order[first : last + 1]
+            rows = rows[np.argsort(rank[rows])]
+            shared = [0, *_common(left, before, rows[1:], rows[:-1]).tolist()]
+            found = [(0, 0, last - first)] if least <= depth and not min(shared[1:]) else []
+            at = place[rows].tolist()
+            for deep, lo, hi in prefix_intervals(shared, max(least - depth, 1)):
+                # the whole interval has it by its own depth
+                if hi - lo == last - first or lcp[min(at[lo : hi + 1]) + 1 : max(at[lo : hi + 1]) + 1].min() == depth:
+                    found.append((deep, lo, hi))
+            yield rows, depth, found
 
+    return (shared[ok], two[ok, 0], np.stack([x[ok], y[ok]], 1)), larger()
 
-def _sorted_groups(contexts: DataFrame, least: int, gram: int) -> DataFrame:
-    """(a, c, l, r) reaches from the suffix arrays of contexts (a, c, before, ctx); groups are of bounded size."""
 
-    def work(rows: list[pa.RecordBatch]) -> pa.RecordBatch | None:
-        t = pa.Table.from_batches(rows)
-        a, before = t["a"].to_numpy(), t["before"].to_numpy()
-        l, r = repeat_reach(a, before, t["ctx"].to_pylist(), least, gram)
-        ok = r > 0
-        return pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(t["c"].to_numpy()[ok]), pa.array(l[ok].astype(np.int32)), pa.array(r[ok].astype(np.int32))], ["a", "c", "l", "r"])
+def repeat_reach(a: np.ndarray, before: np.ndarray, contexts: list[bytes], least: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes before and from its anchor that each context has in a repeat group."""
+    (lefts, depths, pairs), larger = repeat_groups(a, before, contexts, least, gram)
+    reach_l, reach_r = np.zeros(len(a), int), np.zeros(len(a), int)
+    np.maximum.at(reach_l, pairs, lefts[:, None])
+    np.maximum.at(reach_r, pairs, depths[:, None])
+    for rows, depth, groups in larger:
+        own_l, own_r = np.zeros(len(rows), int), np.zeros(len(rows), int)
+        for left, lo, hi in reversed(groups):  # a group comes before those that hold it and share less
+            own_l[lo : hi + 1] = left
+            own_r[lo : hi + 1] = depth
+        reach_l[rows] = np.maximum(reach_l[rows], own_l)
+        reach_r[rows] = np.maximum(reach_r[rows], own_r)
+    return reach_l, reach_r
+
+
+def _by_anchor(contexts: DataFrame, work: Callable[[pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
+    """work over tables of whole groups of contexts (a, c, before, ctx), each context once; groups are of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        last = None
         for b in batches:
             if not b.num_rows:
                 continue
-            held.append(b)
+            # a row of the input that repeats gives its contexts more than once, one after another
+            key = np.stack([b.column("a").to_numpy(), b.column("c").to_numpy()], 1)
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]).any(1)
+            new[0] = last is None or (key[0] != last).any()
+            last = key[-1]
+            held.append(b.filter(pa.array(new)))
             if sum(x.num_rows for x in held) >= CHUNK_ROWS:
                 t = pa.Table.from_batches(held).combine_chunks()
                 a = t["a"].to_numpy()
                 cut = int(np.searchsorted(a, a[-1]))  # the last group may go on
                 if cut:
-                    yield work(t.slice(0, cut).to_batches())
+                    yield work(t.slice(0, cut))
                     held = t.slice(cut).to_batches()
         if held:
-            yield work(held)
+            yield work(pa.Table.from_batches(held))
+
+    return contexts.repartition("a").sortWithinPartitions("a", "c").mapInArrow(run, schema)
+
+
+def _sorted_groups(contexts: DataFrame, least: int, gram: int) -> DataFrame:
+    """(a, c, l, r) reaches from the repeat groups of contexts (a, c, before, ctx)."""
+
+    def work(t: pa.Table) -> pa.RecordBatch:
+        a, before = t["a"].to_numpy(), t["before"].to_numpy()
+        l, r = repeat_reach(a, before, t["ctx"].to_pylist(), least, gram)
+        ok = r > 0
+        return pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(t["c"].to_numpy()[ok]), pa.array(l[ok].astype(np.int32)), pa.array(r[ok].astype(np.int32))], ["a", "c", "l", "r"])
+
+    return _by_anchor(contexts, work, "a long, c long, l int, r int")
+
 
-    return contexts.repartition("a").sortWithinPartitions("a").mapInArrow(run, "a long, c long, l int, r int")
+def _listed_groups(contexts: DataFrame, least: int, gram: int) -> DataFrame:
+    """(a, c, l, r, repeat): a row for each member of each repeat group of contexts (a, c, before, ctx)."""
+
+    def work(t: pa.Table) -> pa.RecordBatch:
+        from xxhash import xxh3_64_intdigest
+
+        a, c, before, ctx = t["a"].to_numpy(), t["c"].to_numpy(), t["before"].to_numpy(), t["ctx"].to_pylist()
+        out = [np.zeros((0, 5), np.int64)]
+        (lefts, depths, pairs), larger = repeat_groups(a, before, ctx, least, gram)
+        each = [*zip(lefts.tolist(), depths.tolist(), pairs, strict=True), *((left, depth, rows[lo : hi + 1]) for rows, depth, groups in larger for left, lo, hi in groups)]
+        for left, depth, members in each:
+            i = members[0]
+            name = np.uint64(xxh3_64_intdigest(ctx[i][before[i] - left : before[i] + depth])).astype(np.int64)
+            out.append(np.stack([a[members], c[members], *(np.full(len(members), x) for x in (left, depth, name))], 1))
+        rows = np.concatenate(out)
+        return pa.RecordBatch.from_arrays([pa.array(rows[:, k].astype(np.int32 if k in (2, 3) else np.int64)) for k in range(5)], ["a", "c", "l", "r", "repeat"])
+
+    return _by_anchor(contexts, work, "a long, c long, l int, r int, repeat long")
 
 
 def _cells(contexts: DataFrame, width: int, least: int) -> DataFrame:
@@ -361,22 +421,27 @@ def _cells(contexts: DataFrame, width: int, least: int) -> DataFrame:
     return contexts.mapInArrow(run, "a long, c long, off int, key long")
 
 
-def _counted_windows(contexts: DataFrame, least: int) -> DataFrame:
-    """(a, c, l, r) reaches of contexts (a, c, before, ctx) by counting cells of window offsets, wide ones first."""
+def _alive_windows(contexts: DataFrame, least: int) -> DataFrame:
+    """(a, c, off, key): the window offsets of contexts (a, c, before, ctx) that two contexts share, by counting cells of offsets, wide ones first."""
     alive, wide = None, 0
     for width in CELLS:
         base = contexts.withColumn("offs", F.lit(None).cast("array<int>")) if alive is None else contexts.join(alive.groupBy("a", "c").agg(F.collect_list("off").alias("offs")), ["a", "c"])
         cells = stored(_cells(base.withColumn("wide", F.lit(wide)), width, least), "cells")
         shared = cells.groupBy("a", "off", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-        alive, wide = stored(cells.join(shared, ["a", "off", "key"]).select("a", "c", "off"), "alive"), width
-    return alive.groupBy("a", "c").agg(F.max("off").alias("l"), (least - F.min("off")).alias("r"))
+        alive, wide = stored(cells.join(shared, ["a", "off", "key"]).select("a", "c", "off", "key"), "alive"), width
+    return alive
 
 
-def reaches(docs: DataFrame, anchors: DataFrame, least: int, gram: int) -> DataFrame:
-    """(a, c, l, r): how far before and from its anchor a context is covered by repeated windows."""
+def _counted_windows(contexts: DataFrame, least: int) -> DataFrame:
+    """(a, c, l, r) reaches of contexts (a, c, before, ctx) by counting."""
+    return _alive_windows(contexts, least).groupBy("a", "c").agg(F.max("off").alias("l"), (least - F.min("off")).alias("r"))
+
+
+def _contexts(docs: DataFrame, anchors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, c, before, after) of contexts that occur twice, and (a, c, before, ctx, hot) of those whose anchor string has different ones."""
     rep = F.min(F.struct("d", "h", "pos", "before", "after")).alias("rep")
     each = stored(anchors.where("a IS NOT NULL").groupBy("a", "c").agg(F.sum("n").alias("n"), rep), "contexts")
-    whole = each.where("n > 1").select("a", "c", F.col("rep.before").alias("l"), F.col("rep.after").alias("r"))
+    whole = each.where("n > 1").select("a", "c", "rep.before", "rep.after")
     # tables on both sides of a join are exchanges of their own, so adaptive execution can split a hot key
     mixed = stored(each.groupBy("a").agg(F.count("*").alias("different")).where("different > 1"), "mixed")
     wanted = each.join(mixed, "a").select("rep.*", "a", "c", (F.col("different") > GROUP).alias("hot"))
@@ -393,8 +458,13 @@ def reaches(docs: DataFrame, anchors: DataFrame, least: int, gram: int) -> DataF
             yield pa.RecordBatch.from_arrays([p.field("a"), p.field("c"), p.field("before"), pa.array(ctx, pa.binary()), p.field("hot")], ["a", "c", "before", "ctx", "hot"])
 
     texts = keyed(docs).select(F.col("_d").alias("d"), F.col("_h").alias("h"), "_text")
-    contexts = stored(texts.join(wanted, ["d", "h"]).select("_text", "places").mapInArrow(run, "a long, c long, before int, ctx binary, hot boolean"), "context_bytes")
-    found = whole.union(_sorted_groups(contexts.where("NOT hot").drop("hot"), least, gram))
+    return whole, stored(texts.join(wanted, ["d", "h"]).select("_text", "places").mapInArrow(run, "a long, c long, before int, ctx binary, hot boolean"), "context_bytes")
+
+
+def reaches(docs: DataFrame, anchors: DataFrame, least: int, gram: int) -> DataFrame:
+    """(a, c, l, r): how far before and from its anchor a context is covered by repeated windows."""
+    whole, contexts = _contexts(docs, anchors)
+    found = whole.toDF("a", "c", "l", "r").union(_sorted_groups(contexts.where("NOT hot").drop("hot"), least, gram))
     hot = contexts.where("hot").drop("hot")
     if not hot.isEmpty():
         # a row that repeats would count as two contexts of its own
@@ -402,12 +472,32 @@ def reaches(docs: DataFrame, anchors: DataFrame, least: int, gram: int) -> DataF
     return found.groupBy("a", "c").agg(F.max("l").alias("l"), F.max("r").alias("r"))
 
 
+def maximal_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
+    """(repeat, length, doc_id, start): all occurrences of each maximal repeat group, in bytes; repeat is a hash of the string.
+
+    A repeat that is longer than the contexts of its anchors comes in pieces as long as these. Strings of anchors with
+    more than GROUP different contexts come as their repeated windows of `least` bytes.
+    """
+    with temporary(docs.sparkSession) as keep:
+        anchors = stored(anchor_table(docs, least, gram, every=True), "anchors")
+        whole, contexts = _contexts(docs, anchors)
+        each = whole.select("a", "c", F.col("before").alias("l"), F.col("after").alias("r"), F.xxhash64("a", "c").alias("repeat"))
+        each = each.union(_listed_groups(contexts.where("NOT hot").drop("hot"), least, gram))
+        hot = contexts.where("hot").drop("hot")
+        if not hot.isEmpty():
+            alive = _alive_windows(stored(hot.dropDuplicates(["a", "c"]), "hot"), least)
+            each = each.union(alive.select("a", "c", F.col("off").alias("l"), (least - F.col("off")).alias("r"), "key"))
+        places = anchors.join(stored(each, "groups"), ["a", "c"]).select("repeat", (F.col("l") + F.col("r")).alias("length"), F.when(F.col("d") != NO_ID, F.col("d")).alias("doc_id"), (F.col("pos") - F.col("l")).alias("start"), "h")
+        return keep(places.distinct().drop("h"), "repeats")
+
+
 def spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
     """(d, h, spans) of each text with repeats: byte ranges (s, e) that cover what is repeated; they may overlap."""
-    anchors = stored(anchor_table(docs, least, gram), "anchors")
-    hits = anchors.join(stored(reaches(docs, anchors, least, gram), "reaches"), ["a", "c"]).select("d", "h", (F.col("pos") - F.col("l")).alias("s"), (F.col("pos") + F.col("r")).alias("e"))
-    local = anchors.where("a IS NULL").select("d", "h", F.col("pos").alias("s"), (F.col("pos") + F.col("after")).alias("e"))
-    return hits.union(local).groupBy("d", "h").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    with temporary(docs.sparkSession) as keep:
+        anchors = stored(anchor_table(docs, least, gram), "anchors")
+        hits = anchors.join(stored(reaches(docs, anchors, least, gram), "reaches"), ["a", "c"]).select("d", "h", (F.col("pos") - F.col("l")).alias("s"), (F.col("pos") + F.col("r")).alias("e"))
+        local = anchors.where("a IS NULL").select("d", "h", F.col("pos").alias("s"), (F.col("pos") + F.col("after")).alias("e"))
+        return keep(hits.union(local).groupBy("d", "h").agg(F.collect_set(F.struct("s", "e")).alias("spans")), "spans")
 
 
 def merge(ranges: list[dict]) -> list[tuple[int, int]]:
@@ -427,7 +517,7 @@ def _kept(text: bytes, runs: list[tuple[int, int]]) -> bytes:
 
 
 def removals(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and text (what is left; a character that a cut splits is dropped) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -435,14 +525,14 @@ def removals(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame
             for t, x in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 t, runs = t or b"", merge(x or [])
                 kept = _kept(t, runs)
-                rows.append((len(t), len(t) - len(kept), len(runs), hashlib.sha256(kept).hexdigest()))
-            cols = list(zip(*rows, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                rows.append((len(t), len(t) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
+            cols = list(zip(*rows, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), *(pa.array(c, pa.string()) for c in cols[3:])], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
 
     found = spans(docs, least, gram)
     texts = keyed(docs.select(F.col("doc_id").cast("long"), "text")).select("doc_id", F.col("_d").alias("d"), F.col("_h").alias("h"), "_text")
     arrow_batches(docs.sparkSession, 256)
-    return texts.join(found, ["d", "h"], "left").select("doc_id", "_text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return texts.join(found, ["d", "h"], "left").select("doc_id", "_text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
 
 
 def cut_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:

@@ -72,8 +72,65 @@ def expected_removals(rows, least=400):
 @pytest.mark.parametrize("group", [4000, 3])
 def test_repeats_are_removed_exactly(docs, rows, monkeypatch, group):
     monkeypatch.setattr(suffix_dedup, "GROUP", group)  # small: the counted windows do the work
-    got = [key(*r) for r in suffix_dedup.removals(docs).collect()]
+    found = suffix_dedup.removals(docs).collect()
+    got = [key(*r[:5]) for r in found]
     assert sorted(got) == sorted(expected_removals(rows))
+    assert all(len(r.text.encode()) <= r.n_bytes - r.n_removed <= len(r.text.encode()) + 6 * r.n_spans for r in found)
+
+
+def naive_repeats(texts, least):
+    """Each repeated string of `least` bytes or more that no byte on a side extends in all its places, with these places."""
+    places, found = {}, {}
+    for d, t in enumerate(texts):
+        for i in range(len(t) - least + 1):
+            places.setdefault(t[i : i + least], []).append((d, i))
+    work = [(w, p) for w, p in places.items() if len(p) > 1]
+    while work:
+        s, p = work.pop()
+        sides = [{}, {}]
+        for d, i in p:
+            t = texts[d]
+            for side, at in ((0, i - 1), (1, i + len(s))):
+                sides[side].setdefault(t[at : at + 1] if 0 <= at < len(t) else (d, i), []).append((d, i))
+        if len(sides[1]) > 1:
+            if len(sides[0]) > 1:
+                found[s] = sorted(p)
+            work += [(s + b, q) for b, q in sides[1].items() if isinstance(b, bytes) and len(q) > 1]
+        else:
+            (b, q), = sides[1].items()
+            if isinstance(b, bytes):
+                work.append((s + b, q))
+        # a string that all places extend to the left is met from there
+    return found
+
+
+@pytest.mark.parametrize("group", [4000, 2])
+def test_maximal_repeats_are_listed_with_all_places(spark, monkeypatch, group):
+    monkeypatch.setattr(suffix_dedup, "GROUP", group)
+    rng = random.Random(4)
+    part = lambda n: "".join(rng.choices("abcdefghijklmnop", k=n))
+    least, shared = 60, [part(n) for n in (60, 66, 75, 90)]
+    texts = [part(50) + rng.choice(shared) + part(rng.randrange(40)) for _ in range(24)]
+    texts += [f"{part(9)}{shared[2]}{part(7)}{shared[2]}", "Q" + shared[3][5:80] + "Z", "R" + shared[3][5:80] + "Z", part(10)]
+    raw = [t.encode() for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    got = {}
+    for r in suffix_dedup.maximal_repeats(docs, least, 16).collect():
+        got.setdefault((r["repeat"], r.length), []).append((r.doc_id, r.start))
+    naive = naive_repeats(raw, least)
+    listed = {}
+    for (_, n), p in got.items():
+        strings = {raw[d][i : i + n] for d, i in p}
+        assert len(strings) == 1 and n >= least
+        listed.setdefault(strings.pop(), set()).update(p)
+    every = lambda s: {(d, i) for d, t in enumerate(raw) for i in range(len(t) - len(s) + 1) if t.startswith(s, i)}
+    assert all(len(p) > 1 and p <= every(s) for s, p in listed.items())
+    if group > 2:
+        # strings that are no longer than contexts reach, with all their places
+        short = {s: p for s, p in naive.items() if len(s) <= 60 + 16}
+        assert short and all(listed.get(s) == set(p) for s, p in short.items())
+    windows = {raw[d][i : i + least] for s, p in naive.items() for d, j in p[:1] for i in range(j, j + len(s) - least + 1)}
+    assert all(any(w in s and every(w) <= {(d, i + s.index(w)) for d, i in p} for s, p in listed.items()) for w in windows)
 
 
 def test_long_text_and_cut(spark, monkeypatch):
@@ -181,6 +238,37 @@ def test_positional_index(spark, docs, rows):
     assert sorted(key(*r) for r in got) == sorted(want)
 
 
+def test_many_hits_of_one_word(spark):
+    rows = [(1, "one two " * 6000), (2, " one, ONE"), (3, "two")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(7, "One"), (8, "three")], "item_id long, text string")
+    got = {r.doc_id: r for r in positional_index.decontaminate(docs, items, slop=3).collect()}
+    assert (got[1].n_hit, len(got[1].hit_ranges)) == (6000, 6000) and got[1].hit_ranges[1] == (2, 3)
+    assert (got[2].n_hit, got[2].hit_ranges) == (2, [(0, 2)]) and not got[3].contaminated and got[1].n_near == 0
+
+
+def test_near_items_against_all_pairs(spark, docs, rows):
+    t = texts()
+    items = [(1, t[10]), (2, "one two"), (3, " ".join(t[20].split()[:4])), (4, "never said"), (None, t[21])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    said = {}
+    for r in rows:
+        for w in words_of(r[1]):
+            said[w] = said.get(w, 0) + 1
+    want = []
+    for r in rows:
+        at = {}
+        for i, w in enumerate(words_of(r[1])):
+            at.setdefault(w, []).append(i)
+        n = 0
+        for item, text in items:
+            two = sorted({w for w in words_of(text) if w in said}, key=lambda w: (said[w], w.encode()))[:2]
+            n += item is not None and len(two) == 2 and any(abs(p - q) <= 6 for p in at.get(two[0], ()) for q in at.get(two[1], ()))
+        want.append(key(r[0], len(words_of(r[1])), n))
+    got = positional_index.decontaminate(docs, bench, slop=6).select("doc_id", "n_words", "n_near").collect()
+    assert sorted(key(*r) for r in got) == sorted(want) and any(r.n_near for r in got)
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha x y beta z z z z z z"), (2, "beta alpha"), (3, "alpha " + "z " * 30 + "beta"), (4, None)], "doc_id long, text string")
     items = spark.createDataFrame([(7, "Alpha beta z")], "item_id long, text string")
