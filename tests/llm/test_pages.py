@@ -45,10 +45,12 @@ def judged(url):
     return (host, path, max(fits)[1], max(fits)[2]) if fits else (host, path, None, "allow")
 
 
-@pytest.mark.parametrize("most", [20_000, 0])
-def test_url_filter(spark, pages, monkeypatch, most):
+@pytest.mark.parametrize("most,inline", [(20_000, 512), (0, 512), (20_000, 0), (0, 0)])
+def test_url_filter(spark, pages, monkeypatch, most, inline):
     monkeypatch.setattr(url_filter, "BROADCAST_ROWS", most)
+    monkeypatch.setattr(url_filter, "INLINE", inline)
     rules = spark.createDataFrame(URL_RULES, "action string, host string, path string")
+    assert url_filter.judge(pages.limit(0), rules).count() == 0
     got = url_filter.judge(pages, rules).collect()
     assert sorted(key(*r) for r in got) == sorted(key(r[0], *judged(r[1])) for r in pages_rows())
     assert {r.verdict for r in url_filter.judge(pages, rules.limit(0)).collect()} == {"allow"}
@@ -87,6 +89,7 @@ def test_warc_files_are_whole_archives(spark, pages):
     by_file = {}
     for r in index:
         by_file.setdefault(r.file, []).append((r.offset, r.length))
+    ids, refers = [], set()
     for f, spans in by_file.items():
         data = open(f.removeprefix("file://"), "rb").read()
         at = 0
@@ -94,7 +97,10 @@ def test_warc_files_are_whole_archives(spark, pages):
             fields, _ = warc.parse(zlib.decompress(data[off : off + n], 31))
             assert off == at and fields["warc-type"] in ("response", "revisit")
             at += n
+            ids.append(fields["warc-record-id"])
+            refers |= {fields["warc-refers-to"]} if fields["warc-type"] == "revisit" else set()
         assert at == len(data)
+    assert len(ids) == len(set(ids)) == len(pages_rows()) and refers and refers <= set(ids)
 
 
 def test_warc_ranges():
@@ -120,19 +126,80 @@ def test_article_text(spark, pages):
 def test_template_of_a_host_is_left_out():
     page = "<html><body><div class=top>Welcome to the site</div><div><div class=c><p>{}</p><p>Always the same line</p><p>{} &lt;b&gt;</p></div></div><div class=low>All rights reserved</div></body></html>"
     x, y = page.format("First words of one", "and its end"), page.format("Other words here", "something else at the end")
-    assert wrapper_html.main_text(x, y) == "First words of one and its end <b>"
-    assert "Always the same line" in wrapper_html.main_text(x, None)
-    deep = "<div>" * 3000 + "text" + "</div>" * 3000
-    assert wrapper_html.main_text("<article>" + deep + "</article>", None) == "text"
+    assert wrapper_html.main_text(x, wrapper_html.learn([x, y])) == "First words of one and its end <b>"
+    assert "Always the same line" in wrapper_html.main_text(x) and wrapper_html.learn([x]) is None
+    longer = page.format("An inserted line</p><p>First words", "and its end")  # one more block in the row
+    assert wrapper_html.main_text(longer, wrapper_html.learn([x, y])) == "An inserted line First words and its end <b>"
+
+
+def test_rows_of_equal_blocks_with_one_more():
+    page = "<html><body><div>" + "<p>{}</p><p>Same line {{}}</p>" * 12 + "</div></body></html>"
+    x, y, z = (page.format(*(f"{n} body {i}" for i in range(12))).format(*range(12)) for n in ("one", "two", "three"))
+    odd = z.replace("<div>", "<div><p>one paragraph more</p>")
+    assert wrapper_html.main_text(odd, wrapper_html.learn([x, y, z])) == " ".join(["one paragraph more", *(f"three body {i}" for i in range(12))])
 
 
 def test_template_lines_of_an_article_are_left_out():
     page = "<html><body><article><h1>{}</h1><p>Share this story now</p><p>{}</p><p>Read more on our site</p></article></body></html>"
     x, y, z = page.format("One head", "The first body of words, longer than the lines around it"), page.format("Two", "Quite another body"), page.format("Three", "A third")
-    assert wrapper_html.main_text(x, y, z) == "One head The first body of words, longer than the lines around it"
+    assert wrapper_html.main_text(x, wrapper_html.learn([x, y, z])) == "One head The first body of words, longer than the lines around it"
+    assert "Share this story now" in wrapper_html.main_text(x)  # without alignment
     copy = x.replace("One head", "One head, again")
-    assert wrapper_html.main_text(x, copy, copy.replace("again", "again!")).startswith("One head Share this story now The first body")  # copies of one article
-    assert "Share this story now" in wrapper_html.main_text(x, y)  # two articles may share a line
+    assert wrapper_html.main_text(x, wrapper_html.learn([x, copy, copy.replace("again", "again!")])).startswith("One head Share this story now The first body")  # copies of one article
+    assert "Share this story now" in wrapper_html.main_text(x, wrapper_html.learn([x, y]))  # two articles may share a line
+
+
+def test_names_inside_and_around_an_article():
+    page = "<body><div class='page-header'><article><h1 class='post-header'>Head</h1><div class='related'>Kin</div><p class='share'>Said</p><div class='ad'>Buy</div><section id='comments'><p>First!</p></section></article></div><div class='related'>More</div></body>"
+    assert wrapper_html.main_text(page) == "Head Kin Said"
+
+
+def test_deep_pairs_and_repeated_rows(spark):
+    deep = lambda t: "<div>" * 3000 + f"<p>{t}</p><p>Every page has it</p>" + "</div>" * 3000
+    rows = [(i, "http://h.org/", deep(f"words of page {i}")) for i in range(4)] + [(9, "http://k.org/", "<article>" + deep("text") + "</article>")]
+    got = wrapper_html.extract(spark.createDataFrame(rows * 2, SCHEMA)).collect()
+    assert sorted((r.page_id, r.text) for r in got) == sorted([*((i, f"words of page {i}") for i in range(4)), (9, "text Every page has it")] * 2)
+
+
+def random_tree(rng, size):
+    labels, texts, parents = ["r"], [""], [-1]
+    for i in range(1, size):
+        labels.append(rng.choice("ab"))
+        texts.append(rng.choice(["", "x", "y", "z"]))
+        parents.append(rng.randrange(max(0, i - 5), i))
+    # page order: a node comes before what follows its parent
+    kids = [[j for j in range(size) if parents[j] == i] for i in range(size)]
+    order, work = [], [0]
+    while work:
+        n = work.pop()
+        order.append(n)
+        work += kids[n][::-1]
+    return wrapper_html.Tree([labels[n] for n in order], [texts[n] for n in order], [order.index(parents[n]) if n else -1 for n in order])
+
+
+@pytest.mark.parametrize("table", [1 << 22, 1])
+def test_alignment_has_the_largest_weight(monkeypatch, table):
+    monkeypatch.setattr(wrapper_html, "TABLE", table)
+    rng = random.Random(6)
+
+    def naive(x, y, a, b):
+        if x.labels[a] != y.labels[b]:
+            return 0
+        m = [[0] * (len(y.kids[b]) + 1) for _ in range(len(x.kids[a]) + 1)]
+        for i, u in enumerate(x.kids[a]):
+            for j, v in enumerate(y.kids[b]):
+                m[i + 1][j + 1] = max(m[i][j + 1], m[i + 1][j], m[i][j] + naive(x, y, u, v))
+        return 1 + 2 * (x.texts[a] == y.texts[b] != "") + m[-1][-1]
+
+    for _ in range(150):
+        x = random_tree(rng, rng.randrange(1, 25))
+        y = x if rng.random() < 0.1 else random_tree(rng, rng.randrange(1, 25))
+        pairs = wrapper_html.align(x, y)
+        at = dict(pairs)
+        assert len(at) == len(pairs) == len(set(at.values())) and all(x.labels[i] == y.labels[j] for i, j in pairs)
+        assert all(i == 0 or at[x.parents[i]] == y.parents[j] for i, j in pairs)
+        assert [j for _, j in sorted(pairs)] == sorted(at.values())
+        assert sum(1 + 2 * (x.texts[i] == y.texts[j] != "") for i, j in pairs) == naive(x, y, 0, 0)
 
 
 def test_copies_at_both_ends_of_a_host(spark):
