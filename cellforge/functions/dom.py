@@ -169,3 +169,45 @@ def clean_text(root: Node) -> str:
         n.drop()
     parts = [t for n in root.find_all(*READ) if (t := n.text(strip=True))]
     return "\n\n".join(parts) if parts else root.text("\n", strip=True)
+
+
+#: What names of elements say about whether they hold an article.
+_GOOD = re.compile(r"article|body|content|entry|main|page|post|text|story", re.I)
+_POOR = re.compile(r"comment|footer|header|menu|nav|promo|related|share|side|sponsor|widget|advert", re.I)
+#: Characters that a paragraph needs to count, and characters that give as much as a comma does.
+PARAGRAPH, STRETCH = 25, 100
+
+
+def main_part(root: Node) -> Node | None:
+    """The element whose paragraphs weigh most, less what of its text is links; None without a paragraph that counts.
+
+    A paragraph gives its weight to its parent, and half of it to the parent's parent.
+    """
+    weights: dict[int, float] = {}
+    found: dict[int, Node] = {}
+    for p in root.find_all("p", "pre", "td"):
+        text = p.text().strip()
+        if len(text) < PARAGRAPH or p.parent is None:
+            continue
+        weight = 1 + text.count(",") + min(len(text) / STRETCH, 3)
+        for n, part in ((p.parent, 1.0), (p.parent.parent, 0.5)):
+            if n is None or n.tag == "[document]":
+                continue
+            if id(n) not in found:
+                found[id(n)] = n
+                name = f"{n.get('class')} {n.get('id')}"
+                weights[id(n)] = 25.0 * (bool(_GOOD.search(name)) - bool(_POOR.search(name))) + (5 if n.tag in ("div", "article") else 0)
+            weights[id(n)] += weight * part
+
+    def score(n: Node) -> float:
+        size = len(n.text()) or 1
+        return weights[id(n)] * (1 - sum(len(a.text()) for a in n.find_all("a")) / size)
+
+    return max(found.values(), key=score, default=None)
+
+
+def readable_text(root: Node) -> str:
+    """`clean_text` of the main part of a page, or of all of it where there is none."""
+    for n in root.find_all(*HIDDEN):
+        n.drop()
+    return clean_text(main_part(root) or root)

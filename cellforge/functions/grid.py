@@ -8,6 +8,8 @@ from cellforge.functions.dom import Node
 
 #: The HTML standard's limits for spans; larger ones would only take memory.
 MAX_ROWSPAN, MAX_COLSPAN = 65_534, 1_000
+#: Positions of one grid: a cell that spans more rows than fit is cut there.
+MAX_POSITIONS = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -41,6 +43,7 @@ class Grid:
         while self._next < len(self.flat) and self.flat[self._next] is not None:
             self._next += 1
         at = self._next
+        rows = max(1, min(rows, (MAX_POSITIONS - at) // self.width))
         if at == len(self.flat):
             self._grow(rows)
         elif (reach := at / self.width + rows) > self.height:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from cellforge.functions.dom import clean_text, parse
+from cellforge.functions.dom import clean_text, parse, readable_text
 from cellforge.sources.registry import ENTITIES, Publisher, publishers
 
 U = "(?dU)"
@@ -73,6 +73,13 @@ def readable(html: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(lambda h: None if h is None else clean_text(parse(h)))
 
 
+@pandas_udf(StringType())
+def readable_main(html: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """As `readable`, of the part of a page whose paragraphs weigh most."""
+    for s in html:
+        yield s.map(lambda h: None if h is None else readable_text(parse(h)))
+
+
 @pandas_udf(ArrayType(StringType()))
 def links(html: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Targets of the anchors of a page, in order."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cellforge.config import DEFAULTS, Settings
 from cellforge.functions import grid as grids
-from cellforge.functions.dom import Node, parse
+from cellforge.functions.dom import Node, clean_text, parse, readable_text
 from cellforge.sources import extractors
 
 CELL = "struct<text:string,span:int,lead:boolean>"
@@ -56,6 +56,39 @@ def extract(pages: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     return pages.select(F.col("doc_id").cast("long"), "html", source.alias("source")).mapInArrow(run, TABLE)
 
 
+_ENTRY = "struct<" + ",".join(c.strip().replace(" ", ":", 1) for c in TABLE.replace("array<array<" + CELL + ">>", "@").split(",")[1:]).replace("@", f"array<array<{CELL}>>") + ">"
+CONTENTS = f"doc_id long, source string, path string, text string, links array<string>, doi string, pmid string, address string, table_links array<string>, by_script boolean, tables array<{_ENTRY}>"
+
+
+def contents(pages: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """All that one parse of each page (doc_id, html, source, path) gives: text, links, numbers, its address, links to tables, and tables."""
+    entry = pa.struct([(n, t) for n, t in zip(_NAMES[1:], _TYPES[1:], strict=True)])
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.bool_(), pa.list_(entry)]
+    names = [c.strip().split(" ")[0] for c in "doc_id, source, path, text, links, doi, pmid, address, table_links, by_script, tables".split(",")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for doc_id, html, source, path in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                root = parse(html or "")
+                links = [a.get("href") for a in root.find_all("a") if "href" in a.attrs]
+                told = (extractors.doi(root, source), extractors.pmid(root, source), extractors.own_address(root), extractors.table_links(root), extractors.expands_by_script(root))
+                found = [dict(zip(_NAMES[1:], (k, *t), strict=True)) for k, t in enumerate(tables_of(extractors.cleaned(root), source, settings))]
+                # the text comes last: it takes parts of the tree away
+                text = readable_text(root) if settings.use_readability else clean_text(root)
+                rows.append((doc_id, source, path, text, links, *told, found))
+            cols = list(zip(*rows, strict=True)) or [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
+
+    pages.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return pages.select(F.col("doc_id").cast("long"), "html", "source", "path").mapInArrow(run, CONTENTS)
+
+
+def tables_in(found: DataFrame) -> DataFrame:
+    """The tables of contents, a row for each."""
+    return found.select("doc_id", F.explode("tables").alias("t")).select("doc_id", "t.*")
+
+
 def cells(tables: DataFrame) -> DataFrame:
     """The grid as a relation: doc_id, table_ix, row_ix, col_ix, text, span and is_lead of each filled position."""
     rows = tables.select("doc_id", "table_ix", F.posexplode("grid").alias("row_ix", "row"))

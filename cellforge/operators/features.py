@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WORD = r"(?U)\b\w\w+\b"
@@ -47,8 +47,8 @@ def tf_idf(found: DataFrame, key: str, n_docs: int, vocab: DataFrame | None = No
     """(key, term, weight): counts times ln((1 + docs) / (1 + df)) + 1, each document's weights of length 1."""
     vocab = vocab if vocab is not None else vocabulary(found, n_docs)
     raw = found.join(vocab, "term").select(key, "term", (F.col("n") * (F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1)).alias("w"))
-    norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    return raw.select(key, "term", (F.col("w") / norm).alias("weight"))
 
 
 def matrix(weights: DataFrame, key: str, value: str, terms_wanted: list[str]) -> DataFrame:

@@ -74,16 +74,22 @@ def first_of_each(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_r")).select(*keys, "_r.*")
 
 
+#: Ranges of the order over which `up_to` counts.
+RANGES = 256
+
+
 def up_to(rows: DataFrame, order: str, counts: str, most: int) -> DataFrame:
-    """Rows in order until `most` of those that count have been met.
+    """Rows in order of a number until `most` of those that count have been met.
 
     The running count is made in two steps, within ranges of the order and over the ranges' sums, so that no
-    task sees all rows.
+    task sees all rows. The ranges' bounds are quantiles of the order, so a row's range depends on its order alone.
     """
-    spread = rows.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
-    mine = Window.partitionBy("_part").orderBy(order)
-    sums = spread.groupBy("_part").agg(F.sum(F.col(counts).cast("long")).alias("_n"))
-    ahead = sums.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_ahead"))
-    run = spread.withColumn("_own", F.sum(F.col(counts).cast("long")).over(mine)).join(F.broadcast(ahead), "_part")
+    bounds = rows.agg(F.percentile_approx(order, F.array(*[F.lit(k / RANGES) for k in range(1, RANGES)]), F.lit(10_000))).first()[0] or []
+    part = F.size(F.filter(F.array(*[F.lit(b) for b in sorted(set(bounds))]), lambda b: b < F.col(order))) if bounds else F.lit(0)
+    spread = rows.withColumn("_part", part)
+    counted = F.col(counts).cast("long")
+    sums = spread.groupBy("_part").agg(F.sum(counted).alias("_n"))
+    ahead = sums.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_ahead"))  # RANGES rows
+    run = spread.withColumn("_own", F.sum(counted).over(Window.partitionBy("_part").orderBy(order))).join(F.broadcast(ahead), "_part")
     # the row that brings the count to `most` is the last one
-    return run.where((F.col("_ahead") + F.col("_own") - F.col(counts).cast("long")) < most).drop("_part", "_own", "_ahead")
+    return run.where((F.col("_ahead") + F.col("_own") - counted) < most).drop("_part", "_own", "_ahead")

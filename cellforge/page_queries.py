@@ -12,7 +12,7 @@ from cellforge.config import DEFAULTS
 from cellforge.functions import text as T
 from cellforge.operators import cells, features, headers, records
 from cellforge.plans import export, ingest, retrieval
-from cellforge.queries import POINTS, VALID, _relations, html_tables, points, query, read, tr
+from cellforge.queries import POINTS, READABLE_SQL, VALID, _relations, html_tables, points, query, read, tr
 from cellforge.sources import pubmed
 from cellforge.sources.registry import IDENTIFIERS
 
@@ -422,3 +422,78 @@ def article_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = [F.lit(None).cast("string").alias(n) for n in ("journal", "authors", "abstract", "citation")]
     meta = p.where("page_id % 2 = 0").select(at.alias("pmid"), F.concat(F.lit("T"), at).alias("title"), F.concat(F.lit("10/"), at).alias("doi"), (2000 + F.col("page_id") % 10).cast("int").alias("year"), *none)
     return ingest.articles(pages, meta).select("id", "doi", "year", "title", "text")
+
+
+@query(f"""
+WITH {POINTS.format(s=300)},
+d AS (SELECT doc, count(*) FILTER (WHERE {VALID}) AS n FROM p GROUP BY doc),
+s AS (SELECT DISTINCT doc FROM d WHERE doc % 4 = 0),
+a AS (SELECT doc, n, doc IN (SELECT doc FROM s) AS stored FROM d),
+m AS (SELECT 'keep' AS mode, doc, CASE WHEN stored THEN 'old' ELSE 'new' END AS state, CASE WHEN stored THEN 1 ELSE 2 END AS n_tables, CASE WHEN stored THEN 1 ELSE 2 * n END AS n_records FROM a UNION ALL SELECT 'replace', doc, 'new', 2, 2 * n FROM a)
+SELECT mode, doc AS id, CASE state WHEN 'old' THEN 'Stored' ELSE 'PMC' END AS publisher, state = 'new' AS is_new, CASE state WHEN 'new' THEN 'T' || doc END AS title, CASE state WHEN 'new' THEN 'MNI' END AS space, CAST(n_tables AS BIGINT) AS n_tables, CAST(n_records AS BIGINT) AS n_records, CAST(state = 'new' AS BIGINT) AS n_links FROM m
+""")
+def add_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three pages for each number (blocked, without a table, and with two tables of points), added to a store that has every fourth number."""
+    p = points(spark, sf_dir)
+    rows = rows_of(p, tr(F.concat(F.lit("area "), "label"), *map(F.col, "xyz")), "r")
+    d = F.col("doc").cast("string")
+    text = F.concat(F.lit("<p>"), F.lit("we analysed all of our data with spm and report the coordinates of all peaks found "), d, F.lit('</p><a href="https://neurovault.org/images/'), d, F.lit('">data</a>'))
+    container = PUBLISHED["PMC"][1]
+    one = lambda n: filled(container, F.lit(n), F.lit("c"), F.lit("f"), F.concat("r", F.lit(f"<tr><td>{n}</td></tr>")))
+    mark = F.lit(PUBLISHED["PMC"][0])
+    page = lambda kind, html: rows.select(F.col("doc").alias("doc_id"), F.concat(F.lit(f"/{kind}/"), d, F.lit(".html")).alias("path"), html.alias("html"))
+    pages = page("a", F.concat(mark, F.lit("<title>Redirecting</title>"), text)).union(page("b", F.concat(mark, text))).union(page("c", F.concat(mark, text, one("1"), one("2"))))
+    had = rows.where("doc % 4 = 0").select(F.col("doc").alias("id"))
+    empty = [F.lit(None).cast("string").alias(n) for n in ("text", "space", "title", "journal", "doi", "authors", "abstract", "citation")]
+    long_ago = F.lit("2001-01-01 00:00:00").cast("timestamp")
+    stored = {
+        "articles": had.select("id", F.lit("Stored").alias("publisher"), *empty, F.lit(None).cast("int").alias("year"), long_ago.alias("created_at"), long_ago.alias("updated_at")),
+        "tables": had.select((-F.col("id") - 1).alias("id"), F.col("id").alias("article_id"), F.lit("1").alias("number")), "activations": had.select((-F.col("id") - 1).alias("table_id"), F.lit(1.0).alias("x")),
+        "links": had.limit(0).select(F.col("id").alias("article_id"), F.lit("image").alias("type"), F.lit("1").alias("neurovault_id"), F.lit("u").alias("url")),
+    }
+    none = [F.lit(None).cast("string").alias(n) for n in ("journal", "doi", "authors", "abstract", "citation")]
+    meta = rows.select(d.alias("pmid"), F.concat(F.lit("T"), d).alias("title"), F.lit(None).cast("int").alias("year"), *none)
+
+    def counted(mode: str, overwrite: bool) -> DataFrame:
+        got = ingest.add_articles(pages, stored, meta, settings=DEFAULTS.with_changes(overwrite=overwrite))
+        n = lambda df, key, name: df.groupBy(F.col(key).alias("id")).agg(F.count("*").alias(name))
+        of_tables = got.tables.select(F.col("id").alias("table_id"), "article_id")
+        out = got.articles.join(n(got.tables, "article_id", "n_tables"), "id", "left").join(n(got.activations.join(of_tables, "table_id"), "article_id", "n_records"), "id", "left").join(n(got.links, "article_id", "n_links"), "id", "left")
+        zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+        return out.select(F.lit(mode).alias("mode"), "id", "publisher", (F.year("updated_at") > 2001).alias("is_new"), "title", "space", zero("n_tables"), zero("n_records"), zero("n_links"))
+
+    return counted("keep", False).union(counted("replace", True))
+
+
+@query("""
+WITH o AS (SELECT o_custkey, 'PMC' || min(o_orderkey) AS pmcid FROM orders GROUP BY o_custkey),
+c AS (SELECT c_custkey AS pmid, pmcid, 'Epilepsia' AS journal, 'http://x.org/' || c_custkey || CASE WHEN c_custkey % 5 = 0 THEN '/SKIP' ELSE '' END || '/abstract' AS url FROM customer LEFT JOIN o ON o_custkey = c_custkey WHERE c_custkey >= 20 AND c_custkey % 7 > 0)
+SELECT 'fetch' AS list, pmid, pmcid, replace(url, 'abstract', 'full') AS url, pmcid IS NOT NULL AS from_full_text FROM c WHERE (pmcid IS NULL OR pmid % 2 = 0) AND pmid % 5 > 0
+UNION ALL SELECT 'open', NULL, pmcid, NULL, NULL FROM c WHERE pmcid IS NOT NULL AND pmid % 2 = 1
+""")
+def retrieval_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as numbers: from 20 on, without every seventh that is on disk, open full texts listed, addresses of full texts without skipped ones."""
+    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("pmid"))
+    pairs = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min("o_orderkey").alias("o")).select(F.col("o_custkey").alias("pmid"), F.concat(F.lit("PMC"), F.col("o").cast("string")).alias("pmcid"))
+    url = F.concat(F.lit("http://x.org/"), F.col("pmid").cast("string"), F.when(F.col("pmid") % 5 == 0, "/SKIP").otherwise(""), F.lit("/abstract"))
+    got = retrieval.plan(c, pairs, c.select("pmid", F.lit("Epilepsia").alias("journal")), c.where("pmid % 7 = 0"), 20, None, pairs.where("pmid % 2 = 1"), True, c.select("pmid", url.alias("url")), ["/skip/"])
+    none = lambda t: F.lit(None).cast(t)
+    return got.fetch.select(F.lit("fetch").alias("list"), "pmid", "pmcid", "url", "from_full_text").union(got.open_access.select(F.lit("open"), none("long"), "pmcid", none("string"), none("boolean")))
+
+
+@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'http://h.org/a/' || page_id WHEN 1 THEN 'http://h.org/b/' || page_id || '.html?x=1' WHEN 2 THEN '10.1/' || page_id END AS address, page_id % 3 = 0 AS by_script FROM pages")
+def page_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses that pages tell in meta tags, the first kind before others, and whether a script shows their tables."""
+    at, k = F.col("page_id").cast("string"), F.col("page_id") % 4
+    tag = F.when(k == 0, F.concat(F.lit('<meta property="og:url" content="http://other"><meta name="citation_public_url" content="http://h.org/a/'), at, F.lit('">')))
+    tag = tag.when(k == 1, F.concat(F.lit('<meta property="og:url" content="http://h.org/b/'), at, F.lit('.html?x=1">'))).when(k == 2, F.concat(F.lit('<meta name="dc.Identifier" content="no"><meta name="dc.Identifier" scheme="doi" content="10.1/'), at, F.lit('">'))).otherwise("")
+    html = F.concat(tag, F.when(F.col("page_id") % 3 == 0, F.lit("<div class='x Table-Expand-Inline'></div>")).otherwise("<p>tables</p>"))
+    pages = read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), html.alias("html"), F.lit("PMC").alias("source"), F.lit("").alias("path"))
+    return cells.contents(pages).select(F.col("doc_id").alias("page_id"), "address", "by_script")
+
+
+@query(READABLE_SQL)
+def readability_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of the part of a page whose paragraphs weigh most; the pages' only paragraphs and headings are in it."""
+    p = read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "html", F.lit(None).cast("string").alias("source"))
+    return ingest.articles(p, settings=DEFAULTS.with_changes(use_readability=True)).select(F.col("id").alias("page_id"), "text")

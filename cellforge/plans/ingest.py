@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellforge.config import DEFAULTS, Settings
 from cellforge.functions import text as T
 from cellforge.operators import cells, records, relational
-from cellforge.sources.registry import Publisher
+from cellforge.sources.readers import materialised
+from cellforge.sources.registry import Publisher, publishers
 
 
 def screened(pages: DataFrame, known: list[Publisher] | None = None, force: bool = False) -> DataFrame:
@@ -31,9 +34,14 @@ def with_counts(tables: DataFrame, found: DataFrame) -> DataFrame:
     return tables.join(found.groupBy("doc_id", "table_ix").agg(F.count("*").alias("n_activations")), ["doc_id", "table_ix"])
 
 
-def articles(pages: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
+def articles(pages: DataFrame, metadata: DataFrame | None = None, settings: Settings = DEFAULTS) -> DataFrame:
     """The articles relation of pages (doc_id, html, source): text and space from the page, the rest from metadata (pmid, ...)."""
-    body = pages.select(F.col("doc_id").alias("id"), T.readable("html").alias("text"), F.col("source").alias("publisher"))
+    text = T.readable_main("html") if settings.use_readability else T.readable("html")
+    return with_metadata(pages.select(F.col("doc_id").alias("id"), text.alias("text"), F.col("source").alias("publisher")), metadata)
+
+
+def with_metadata(body: DataFrame, metadata: DataFrame | None) -> DataFrame:
+    """Articles of body (id, text, publisher): the space by the text, and metadata (pmid, ...) by the id."""
     body = body.withColumn("space", T.guess_space("text"))
     now = [F.current_timestamp().alias("created_at"), F.current_timestamp().alias("updated_at")]
     if metadata is None:
@@ -45,7 +53,12 @@ def articles(pages: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
 
 def repository_links(pages: DataFrame) -> DataFrame:
     """(article_id, type, neurovault_id, url) of each page's links to the image repository, each once."""
-    each = pages.select("doc_id", F.explode(T.links("html")).alias("url")).withColumn("l", T.collection_link("url")).where("l IS NOT NULL")
+    return links_in(pages.select("doc_id", T.links("html").alias("links")))
+
+
+def links_in(found: DataFrame) -> DataFrame:
+    """As `repository_links`, of pages' links (doc_id, links)."""
+    each = found.select("doc_id", F.explode("links").alias("url")).withColumn("l", T.collection_link("url")).where("l IS NOT NULL")
     return each.select(F.col("doc_id").alias("article_id"), "l.type", F.col("l.id").alias("neurovault_id"), "url").distinct()
 
 
@@ -89,3 +102,73 @@ def with_numbers(pages: DataFrame, by_doi: DataFrame) -> DataFrame:
     told = pages.withColumn("_ids", T.identifiers("html", "source"))
     known = by_doi.select(F.col("doi").alias("_doi"), F.col("pmid").alias("_pmid"))
     return told.join(known, F.col("_ids.doi") == F.col("_doi"), "left").withColumn("doi", F.col("_ids.doi")).withColumn("pmid", F.coalesce("_ids.pmid", "_pmid")).drop("_ids", "_doi", "_pmid")
+
+
+@dataclass(frozen=True)
+class Added:
+    """The store's relations after articles were added, and the pages that weren't: (path, reason)."""
+
+    articles: DataFrame
+    tables: DataFrame
+    activations: DataFrame
+    links: DataFrame
+    missing: DataFrame
+
+    def relations(self) -> dict[str, DataFrame]:
+        return {"articles": self.articles, "tables": self.tables, "activations": self.activations, "links": self.links}
+
+
+def add_articles(pages: DataFrame, stored: dict[str, DataFrame] | None = None, metadata: DataFrame | None = None, by_doi: DataFrame | None = None, settings: Settings = DEFAULTS, known: list[Publisher] | None = None, force: bool = False) -> Added:
+    """Adds pages (path, html and doc_id, the number by the file's name or null) to the store's relations.
+
+    Pages whose number is stored are left out before they are parsed, unless stored articles are to be replaced. The
+    others are screened, and each is parsed once for its text, links, numbers and tables. A page without a number has that
+    which it tells, or that of its DOI in by_doi (doi, pmid). Of tables of no known publisher only meaningful ones stay. Of the pages
+    of a number the best one becomes the article; with `keep_empty_documents` off it needs a table. What belonged to a
+    replaced article goes with it; its creation time stays.
+    """
+    if stored is not None and not settings.overwrite:
+        pages = pages.join(stored["articles"].select(F.col("id").alias("doc_id")), "doc_id", "left_anti")
+    gates = screened(pages.select("doc_id", "path", "html"), known, force)
+    kept = gates.where("reason IS NULL").withColumn("html", T.decode_by_source("html", "source"))
+    # all relations are made of this, so no page is parsed twice
+    read = materialised(cells.contents(kept, settings))
+    if by_doi is not None:
+        read = read.join(by_doi.select(F.col("doi").alias("_doi"), F.col("pmid").alias("_pmid")), F.col("doi") == F.col("_doi"), "left").withColumn("pmid", F.coalesce("pmid", F.col("_pmid").cast("string"))).drop("_doi", "_pmid")
+    read = read.withColumn("id", F.coalesce("doc_id", F.col("pmid").try_cast("long"))).where("id IS NOT NULL")
+    # a page is known by its path from here on
+    page = F.xxhash64("path").alias("doc_id")
+    tables = cells.tables_in(read.select(page, "tables"))
+    found = materialised(records.records(tables, settings))
+    counted = with_counts(tables, found).join(read.select(page, "id", "path", "source"), "doc_id")
+    own = counted.where(F.col("source").isin(*[p.name for p in known or publishers()]))
+    counted = own.unionByName(meaningful(counted.join(own.select("doc_id").distinct(), "doc_id", "left_anti"), found))
+    best = best_pages(read.select("id", "path", "text", "source", "links", "doi"), counted, "id").drop("n_records", "n_tables", "missing")
+
+    stamped = F.xxhash64("path", "table_ix")
+    tables = counted.join(best.select("path"), "path", "left_semi").select(stamped.alias("id"), F.col("id").alias("article_id"), "doc_id", "table_ix", "position", "number", "label", "caption", "notes", "n_activations", "input_html")
+    records_of = found.join(tables.select("doc_id", "table_ix", F.col("id").alias("table_id")), ["doc_id", "table_ix"]).drop("doc_id", "table_ix")
+    tables = tables.drop("doc_id", "table_ix")
+    rows = with_metadata(best.select("id", "text", F.col("source").alias("publisher")), metadata)
+    rows = kept_articles(rows, tables.select(F.col("article_id").alias("doc_id")), settings)
+    links = links_in(best.select(F.col("id").alias("doc_id"), "links")).join(rows.select(F.col("id").alias("article_id")), "article_id", "left_semi")
+    missing = gates.where("reason IS NOT NULL").select("path", "reason")
+    if stored is None:
+        return Added(rows, tables, records_of, links, missing)
+
+    # a page that tells its own number may be of a stored article too
+    had = stored["articles"].select("id", F.col("created_at").alias("_created"))
+    if settings.overwrite:
+        rows = rows.join(had, "id", "left").withColumn("created_at", F.coalesce("_created", "created_at")).drop("_created")
+    else:
+        rows = rows.join(had.select("id"), "id", "left_anti")
+        tables, links = (x.join(had.select(F.col("id").alias("article_id")), "article_id", "left_anti") for x in (tables, links))
+        records_of = records_of.join(tables.select(F.col("id").alias("table_id")), "table_id", "left_semi")
+    gone = rows.select(F.col("id").alias("article_id"))
+    old_tables = stored["tables"].join(gone, "article_id", "left_anti")
+    merged = lambda old, new: old.unionByName(new, allowMissingColumns=True)
+    return Added(
+        merged(stored["articles"].join(gone.select(F.col("article_id").alias("id")), "id", "left_anti"), rows), merged(old_tables, tables),
+        merged(stored["activations"].join(stored["tables"].join(gone, "article_id", "left_semi").select(F.col("id").alias("table_id")), "table_id", "left_anti"), records_of),
+        merged(stored["links"].join(gone, "article_id", "left_anti"), links), missing,
+    )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,3 +66,35 @@ def store_pages(pages: DataFrame, folder: str, stored: DataFrame | None = None)
     gates = new.withColumn("valid", F.coalesce(T.is_valid_page(), F.lit(False)))
     gates.where("valid").drop("valid").write.mode("append").partitionBy("journal").parquet(folder)
     return gates.where("NOT valid").select("pmid")
+
+
+@dataclass(frozen=True)
+class Plan:
+    """What to fetch: (pmid, pmcid, journal, url, from_full_text), pmcids that are open and left out, and DOIs without an article."""
+
+    fetch: DataFrame
+    open_access: DataFrame
+    missing: DataFrame | None
+
+
+def plan(ids: DataFrame, pairs: DataFrame, journals: DataFrame, on_disk: DataFrame | None = None, least: int | None = None, most: int | None = None, open_access: DataFrame | None = None, prefer: bool | str = True, addresses: DataFrame | None = None, skip: list[str] | None = None, dois: DataFrame | None = None, limit: int | None = None) -> Plan:
+    """Which of ids (pmid; doi where dois are asked for) to fetch, and from where.
+
+    Stored and out-of-range numbers go first. Full texts that are open_access (pmcid) are left out and listed. Addresses (pmid,
+    url, a provider's) become those of full texts by journal; those that hold a part in skip are left out. With a limit, the
+    first so many numbers in order are fetched.
+    """
+    chosen = with_full_text_ids(wanted(ids.select("pmid").distinct(), on_disk, least, most), pairs)
+    none = chosen.limit(0).select("pmcid")
+    listed = none if open_access is None else chosen.join(open_access.select("pmcid"), "pmcid", "left_semi").select("pmcid")
+    if open_access is not None:
+        chosen = without_open_access(chosen, open_access)
+    chosen = by_full_text(with_journals(chosen, journals), prefer)
+    if addresses is not None:
+        chosen = chosen.join(addresses.select("pmid", "url"), "pmid", "left").withColumn("url", T.full_text_url("url", "journal")).where(F.col("url").isNull() | ~T.skips("url", skip))
+    else:
+        chosen = chosen.withColumn("url", F.lit(None).cast("string"))
+    chosen = chosen.select("pmid", "pmcid", "journal", "url", "from_full_text")
+    if limit is not None:
+        chosen = relational.up_to(chosen.withColumn("_new", F.lit(True)), "pmid", "_new", limit).drop("_new")
+    return Plan(chosen, listed, None if dois is None else missing_dois(dois, ids))

@@ -482,11 +482,14 @@ def fallback_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.first_way(h, "c_custkey", "way").select("c_custkey", "o_orderkey", "way")
 
 
-@query(r"""
+READABLE_SQL = r"""
 WITH b AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '(?s)<!--.*?-->', '', 'g') AS h FROM pages),
 e AS (SELECT page_id, h, regexp_extract_all(h, '(?s)<(?:p|h1)>(.*?)(?:</p>|</h1>|<br>|</article>)', 1) AS parts FROM b)
 SELECT page_id, array_to_string(list_filter([trim(html_unescape) FOR html_unescape IN [replace(replace(replace(replace(regexp_replace(x, '\s*<[^>]*>\s*', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') FOR x IN parts]], lambda x: x <> ''), chr(10) || chr(10)) AS text FROM e
-""")
+"""
+
+
+@query(READABLE_SQL)
 def readable_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cleaned text of pages: headings and paragraphs, an empty line between."""
     return read(spark, sf_dir, "pages").select("page_id", T.readable("html").alias("text"))

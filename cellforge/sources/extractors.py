@@ -20,12 +20,14 @@ HEADER_HINT = re.compile(r"\b(mni|talairach|coordinate|peak voxel coordinate|x\s
 TRIPLET_HINT = re.compile(r"(?<!\d)[+\-−–—]?\d{1,3}\s*[,;/|\t ]\s*[+\-−–—]?\d{1,3}\s*[,;/|\t ]\s*[+\-−–—]?\d{1,3}(?!\d)")
 CONTENT_HINTS = [re.compile(p, _I) for p in (r"-?\d+\.?\d*\s*,\s*-?\d+\.?\d*\s*,\s*-?\d+\.?\d*", r"-?\d+\s+-?\d+\s+-?\d+", "MNI|Talairach|coordinates")]
 STATISTICS_HINT = re.compile(r"p\s*[<>=]\s*0\.\d+|[zpt]\s*=\s*\d+\.\d+", _I)
-NEURO_WORDS = "region area activation volume voxel brain cortex significance p-value z-score t-value".split()
-NAVIGATION_WORDS = "menu navigation nav login search footer header".split()
-NAVIGATION_CLASSES = "nav menu footer header sidebar".split()
+NEURO_WORDS = ("region", "area", "activation", "volume", "voxel", "brain", "cortex", "significance", "p-value", "z-score", "t-value")
+NAVIGATION_WORDS = ("menu", "navigation", "nav", "login", "search", "footer", "header")
+NAVIGATION_CLASSES = ("nav", "menu", "footer", "header", "sidebar")
 REJECTED = ("advertisement", "sponsored", "related articles", "journal menu", "issue contents", "navigation")
 LINK_TEXT = re.compile(r"\b(table|full\s*size\s*table|view\s+(this\s+)?table|view\s+popup|view\s+inline|table\s*view|open\s+table)\b", _I)
 LINK_HREF = re.compile(r"(/highwire/markup/\d+/expansion\b|/article(s)?/.+/tables/\d+(?:$|[/?#])|(?:^|/)[Tt]\d+[A-Za-z0-9_-]*\.expansion\.html(?:$|[?#])|/tables?/\d+(?:$|[/?#])|table[-_/]?(view|popup|inline|expand|expansion))", _I)
+SCRIPTED = re.compile(r"\btable-expand-inline\b|\bview\s*popup\b|\bexpand(ed)?\s*table\b|\bdata-table-url\b|\bhighwire/markup/\d+/expansion\b", _I)
+OWN_ADDRESS = ({"name": "citation_public_url"}, {"name": "citation_fulltext_html_url"}, {"property": "og:url"}, {"name": "dc.Identifier", "scheme": "doi"})
 VIEWER_DATA = re.compile(r"tandf\.tfviewerdata\s*=\s*")
 
 
@@ -50,18 +52,19 @@ def cleaned(root: Node) -> Node:
 
 
 def outer_html(node: Node) -> str:
+    """An element as HTML, whatever its depth."""
     out: list[str] = []
-
-    def write(n: Node | str) -> None:
+    work: list[tuple[Node | str, bool]] = [(node, False)]
+    while work:
+        n, ends = work.pop()
         if isinstance(n, str):
             out.append(escape(n, quote=False))
+        elif ends:
+            out.append(f"</{n.tag}>")
         else:
             out.append(f"<{n.tag}{n.raw.rstrip('/')}>")
-            for k in n.kids:
-                write(k)
-            out.append(f"</{n.tag}>")
-
-    write(node)
+            work.append((n, True))
+            work += [(k, False) for k in reversed(n.kids)]
     return "".join(out)
 
 
@@ -437,6 +440,20 @@ def table_links(root: Node) -> list[str]:
     return list(dict.fromkeys(told or [h for h, _ in links if LINK_HREF.search(h)]))
 
 
+def expands_by_script(root: Node) -> bool:
+    """Whether a page's text or classes say that a script shows its tables."""
+    return bool(SCRIPTED.search(root.text(" ", strip=True))) or any(SCRIPTED.search(n.get("class")) for n in root.walk() if n.raw)
+
+
+def own_address(root: Node) -> str | None:
+    """What the page says its address is, by the first of the meta tags that is there."""
+    metas = root.find_all("meta")
+    for wanted in OWN_ADDRESS:
+        if n := next((m for m in metas if m.get("content") and all(m.get(k) == v for k, v in wanted.items())), None):
+            return n.get("content")
+    return None
+
+
 # --- identifiers on a page
 
 DOI = re.compile(r"10\.\d{4,9}/[^\s\"'<>?#]+")

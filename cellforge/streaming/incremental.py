@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from cellforge.config import DEFAULTS, Settings
-from cellforge.operators import relational
+from cellforge.operators import records, relational
 from cellforge.plans import ingest
 
 
@@ -29,8 +29,11 @@ def ingest_stream(pages: DataFrame, store: str, checkpoint: str, settings: Setti
         except Exception as e:  # noqa: BLE001
             if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER" not in str(e):
                 raise
-        gates, tables, found = ingest.parsed(df, settings, force=force)
-        for name, part in (("pages", gates.drop("html")), ("tables", tables), ("records", found)):
-            part.write.mode("overwrite").parquet(f"{store}/{name}/batch={number}")
+        gates, tables, _ = ingest.parsed(df, settings, force=force)
+        write = lambda name, part: part.write.mode("overwrite").parquet(f"{store}/{name}/batch={number}")
+        # records come from the tables as written: pages are parsed once, and a file that changes can't give two answers
+        write("tables", tables)
+        write("records", records.records(spark.read.schema(tables.schema).parquet(f"{store}/tables/batch={number}"), settings))
+        write("pages", gates.drop("html"))
 
     return pages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -174,3 +174,32 @@ def test_metadata():
     assert (m["pmid"], m["year"], m["title"], m["authors"], m["citation"], m["doi"]) == ("7", 2001, "An odd title", None, "one", None)
     assert pubmed.metadata_of("<x/>") is None and pubmed.metadata_of("not xml") is None and pubmed.metadata_of(None) is None
     assert pubmed.query("Brain Res", "fmri") == "(Brain+Res[Journal]+journal+article[pt]+fmri)"
+
+
+def test_html_of_a_deep_element():
+    from cellforge.sources.extractors import outer_html
+
+    assert outer_html(parse("<table><tr><td a=1>x &lt; y<br>z</table>").find("table")) == "<table><tr><td a=1>x &lt; y<br></br>z</td></tr></table>"
+    deep = outer_html(parse("<table><tr><td>" + "<b>" * 5000 + "x").find("table"))
+    assert deep.count("<b>") == 5000
+
+
+def test_grid_of_a_cell_that_spans_everything():
+    g = grid.build(parse("<table><tr><td rowspan=65534 colspan=1000>a<tr><td>b</table>").find("table"))
+    assert len(g) * len(g[0]) <= grid.MAX_POSITIONS + 1000 and g[0][0].text == "a"
+
+
+def test_main_part():
+    from cellforge.functions.dom import main_part, readable_text
+
+    body = "".join(f"<p>Paragraph {i}, with many words, of the article that is read here.</p>" for i in range(5))
+    page = f"<body><div class=sidebar><p>Short promo, with words that are long enough to count here.</p></div><div id=content><h2>Head</h2>{body}</div><div class=comments><p>first comment, also long enough to count for something</p></div></body>"
+    assert main_part(parse(page)).get("id") == "content"
+    assert readable_text(parse(page)).startswith("Head\n\nParagraph 0") and "promo" not in readable_text(parse(page)) and "comment" not in readable_text(parse(page))
+    assert readable_text(parse("<p>short</p>")) == "short" and main_part(parse("")) is None
+
+
+def test_own_address_and_scripted_tables():
+    assert extractors.own_address(parse('<meta property="og:url" content="http://b"><meta name="citation_public_url" content="http://a">')) == "http://a"
+    assert extractors.own_address(parse('<meta name="dc.Identifier" content="x"><meta name="citation_public_url" content="">')) is None
+    assert extractors.expands_by_script(parse("<p>View <b>popup</b></p>")) and extractors.expands_by_script(parse("<i class='TABLE-EXPAND-INLINE'>")) and not extractors.expands_by_script(parse("<p>table</p>"))

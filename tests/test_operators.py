@@ -155,6 +155,9 @@ def test_export(spark, tmp_path):
     said = json.loads("".join(r.value for r in spark.read.text(str(tmp_path / "out/export.json")).collect()))
     assert said["n_tables"] == 1 and len(said["exported"]) == 19
     assert export.relations(articles, ts, rs, ls, skip_empty=False)["metadata"].count() == 2
+    named = [r.table_raw_file for r in spark.read.csv(str(tmp_path / "out/tables.csv"), header=True).collect()]
+    assert named == ["tables/1/10.html"] and (tmp_path / "out" / named[0]).read_text() == "<table/>"
+    assert [tuple(r) for r in spark.read.csv(str(tmp_path / "out/table_files.csv"), header=True).collect()] == [(named[0], "8")]
 
 
 def test_retrieval(spark):
@@ -213,9 +216,15 @@ def test_identifiers_of_pages(spark):
 
 def test_store(spark, tmp_path):
     settings = DEFAULTS.with_changes(store_uri=str(tmp_path))
-    for n in (1, 2):
+    for n in (1, 2, 3):
         readers.save(spark.range(n), settings, "articles")
         assert readers.relation(spark, settings, "articles").count() == n
+    folder = tmp_path / "articles"
+    assert len(readers.versions(spark, str(folder))) == 2  # the one before stays
+    (folder / "v=9999999999-crashed").mkdir()  # a writer that didn't finish
+    assert readers.relation(spark, settings, "articles").count() == 3
+    readers.save(readers.relation(spark, settings, "articles").limit(1), settings, "articles")  # from itself
+    assert readers.relation(spark, settings, "articles").count() == 1
     with pytest.raises(ValueError):
         readers.relation(spark, settings, "nothing")
     with pytest.raises(ValueError):
@@ -225,3 +234,82 @@ def test_store(spark, tmp_path):
     assert [r.pmid for r in failed.collect()] == [2] and spark.read.parquet(str(tmp_path / "pages")).count() == 1
     have, fetch = retrieval.cached(pages.select("pmid"), pages.where("pmid = 1"))
     assert have.count() == 1 and fetch.count() == 2
+
+
+def test_up_to_with_ties_of_ranges_and_few_rows(spark):
+    df = spark.range(20_000).selectExpr("id", "id % 7 < 3 AS ok").repartition(9)
+    for most in (1, 100, 5_000, 50_000):
+        got = sorted(r.id for r in relational.up_to(df, "id", "ok", most).collect())
+        want, seen = [], 0
+        for i in range(20_000):
+            if seen >= most:
+                break
+            want.append(i)
+            seen += i % 7 < 3
+        assert got == want
+    assert relational.up_to(df.limit(0), "id", "ok", 5).count() == 0
+
+
+def test_publisher_configs_identify_pages(spark, tmp_path):
+    (tmp_path / "Own.json").write_text(json.dumps({"name": "Some Press", "identifiers": ["press of \\d+"], "entities": {"&odd;": "!"}, "delay": 3}))
+    (tmp_path / "Bare.json").write_text(json.dumps({"name": "B", "identifiers": ["bare mark"]}))
+    known = readers.publishers_of(readers.configs(spark, str(tmp_path / "*.json")))
+    assert [(k.name, k.delay) for k in known] == [("Bare", 0), ("Own", 3)] and known[1].entities["&odd;"] == "!"
+    pages = spark.createDataFrame([(1, "by press of 12"), (2, "bare mark, press of 3"), (3, "press of none")], "doc_id long, html string")
+    assert {r.doc_id: r.source for r in ingest.screened(pages, known).collect()} == {1: "Own", 2: "Bare", 3: None}
+
+
+def test_contents_are_what_the_single_readers_give(spark):
+    page = f'<meta name="citation_doi" content="10.1093/x"><meta property="og:url" content="http://h/a"><h1>Head</h1><p>one, two</p><a href="/x">l</a><a href="/article/a/tables/1">Full size table</a><div class="table-wrap"><table>{HEAD}<tr><td>A</td><td>1</td><td>2</td><td>3</td></tr></table></div>'
+    pages = spark.createDataFrame([(1, page, "OUP", "/p/1"), (2, None, None, "/p/2")], "doc_id long, html string, source string, path string")
+    got = {r.doc_id: r for r in cells.contents(pages).collect()}
+    r = got[1]
+    assert (r.text, r.links, r.doi, r.address, r.table_links, r.by_script) == ("Head\n\none, two", ["/x", "/article/a/tables/1"], "10.1093/x", "http://h/a", ["/article/a/tables/1"], False)
+    assert cells.tables_in(cells.contents(pages)).collect() == cells.extract(pages).collect() and got[2].tables == [] and got[2].text == ""
+
+
+def test_added_articles_take_the_place_of_stored_ones(spark):
+    page = f'<meta name="ncbi_db" content="pmc"><meta name="citation_pmid" content="7"><p>text</p><div class="table-wrap"><h3>Table 1</h3><table>{HEAD}<tr><td>A</td><td>1</td><td>2</td><td>3</td></tr></table></div>'
+    rows = [(None, "/a/x.html", page), (8, "/a/8.html", page), (9, "/a/9.html", "403 Forbidden"), (10, "/a/10.html", "no publisher"), (11, "/a/11.html", '<meta name="ncbi_db" content="pmc"><p>no table')]
+    pages = spark.createDataFrame(rows, "doc_id long, path string, html string")
+    first = ingest.add_articles(pages, settings=DEFAULTS.with_changes(keep_empty_documents=False))
+    assert sorted(r.id for r in first.articles.collect()) == [7, 8] and first.tables.count() == 2 and first.activations.count() == 2
+    assert sorted(tuple(r) for r in first.missing.collect()) == [("/a/10.html", "unknown source"), ("/a/9.html", "blocked")]
+    had = {k: readers.materialised(v) for k, v in first.relations().items()}
+    again = ingest.add_articles(pages, had)
+    assert sorted(r.id for r in again.articles.collect()) == [7, 8, 11] and again.tables.count() == 2
+    over = ingest.add_articles(pages, had, settings=DEFAULTS.with_changes(overwrite=True))
+    assert sorted(r.id for r in over.articles.collect()) == [7, 8, 11] and over.tables.count() == over.activations.count() == 2
+    old = {r.id: r for r in had["articles"].collect()}
+    assert all(r.created_at == old[r.id].created_at and r.updated_at > old[r.id].updated_at for r in over.articles.collect() if r.id in old)
+
+
+def test_retrieval_plan_with_a_limit(spark):
+    ids = spark.createDataFrame([(i,) for i in range(1, 11)], "pmid long")
+    pairs = spark.createDataFrame([(2, "PMC2"), (4, "PMC4")], "pmid long, pmcid string")
+    journals = spark.createDataFrame([(1, "J")], "pmid long, journal string")
+    got = retrieval.plan(ids, pairs, journals, least=2, open_access=pairs.where("pmid = 2").select("pmcid"), limit=3)
+    assert sorted((r.pmid, r.journal, r.from_full_text) for r in got.fetch.collect()) == [(3, "UNKNOWN", False), (4, "UNKNOWN", True), (5, "UNKNOWN", False)]
+    assert [r.pmcid for r in got.open_access.collect()] == ["PMC2"] and got.missing is None
+
+
+def test_pages_by_http_whatever_the_status(monkeypatch):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Answer(BaseHTTPRequestHandler):
+        def do_GET(self):  # noqa: N802
+            self.send_response(404 if self.path == "/no" else 200)
+            self.end_headers()
+            self.wfile.write(b"said " + self.path.encode())
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Answer)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{server.server_port}"
+    assert readers.get_url(at + "/yes") == "said /yes" and readers.get_url(at + "/no") == "said /no"
+    server.shutdown()
+    monkeypatch.setattr("time.sleep", lambda s: None)
+    assert readers.get_url("http://127.0.0.1:9/", retries=2, timeout=0.2) is None
