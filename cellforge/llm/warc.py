@@ -6,7 +6,7 @@ gzip member a record) into a folder that all machines share, through pyarrow's f
 the index rows: file, offset, length, url and digest of each record. Only the index of finished tasks is
 kept, so an archive that a lost executor began is never read.
 
-Reading selects records in the index, deals them by file and stretch, sorts the ranges, joins those that
+Reading selects records in the index, deals them by file and stretch, in as many parts as their bytes ask for, sorts the ranges, joins those that
 lie closer than GAP into reads of up to READ bytes, and takes the records out of each read.
 
 A null url is written as an empty target. A null page_id comes last among equal payloads. Of rows
@@ -32,7 +32,9 @@ DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Ranges closer than GAP bytes are read together, up to READ bytes; a task reads a stretch of a file.
 GAP, READ, STRETCH = 64 << 10, 4 << 20, 64 << 20
-INDEX = "page_id long, url string, payload_digest string, record_type string, refers_to long, file string, offset long, length long"
+#: A read task has so many bytes at least, however many cores there are.
+LEAST_STRETCH = 4 << 20
+INDEX = "record_id string, page_id long, url string, payload_digest string, record_type string, refers_to long, file string, offset long, length long"
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload binary"
 
 
@@ -40,17 +42,22 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'page {page_id}')}>"
+def record_id(of: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, of)}>"
 
 
-def record(kind: str, page_id: int | None, url: str, payload: bytes, refers_to: int | None = None) -> bytes:
-    """One record's bytes: a response with its payload, or a revisit with the HTTP head only."""
+def response_id(payload_digest: str) -> str:
+    """The id of the one response that revisits of a payload refer to."""
+    return record_id(f"payload {payload_digest}")
+
+
+def record(kind: str, own: str, url: str, payload: bytes) -> bytes:
+    """The bytes of the record with id own: a response with its payload, or a revisit with the HTTP head only."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head + payload if kind == "response" else head
-    fields = [("WARC-Type", kind), ("WARC-Target-URI", " ".join(url.split())), ("WARC-Date", DATE), ("WARC-Record-ID", record_id(page_id)), ("WARC-Payload-Digest", "sha1:" + digest(payload)), ("Content-Type", "application/http;msgtype=response")]
+    fields = [("WARC-Type", kind), ("WARC-Target-URI", " ".join(url.split())), ("WARC-Date", DATE), ("WARC-Record-ID", own), ("WARC-Payload-Digest", "sha1:" + digest(payload)), ("Content-Type", "application/http;msgtype=response")]
     if kind == "revisit":
-        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(refers_to))]
+        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", response_id(digest(payload)))]
     named = "".join(f"{k}: {v}\r\n" for k, v in [*fields, ("Content-Length", len(block))])
     return f"WARC/1.1\r\n{named}\r\n".encode() + block + b"\r\n\r\n"
 
@@ -91,8 +98,12 @@ def plan(pages: DataFrame, dedup_bytes: int = 0) -> DataFrame:
     return planned.where("NOT same").drop("same", "top").union(copies)
 
 
-def write(planned: DataFrame, folder: str) -> DataFrame:
-    """Writes the archives into folder, and returns the stored index."""
+def write(planned: DataFrame, folder: str, dedup_bytes: int = 0) -> DataFrame:
+    """Writes the archives into folder, and returns the stored index.
+
+    The response of payloads that are deduplicated is named by its digest, any other record by its file and offset,
+    so that no two records share an id, whatever rows repeat.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _store(folder)
@@ -105,13 +116,14 @@ def write(planned: DataFrame, folder: str) -> DataFrame:
                     if out is None:
                         out = fs.open_output_stream(f"{root}/{name}", compression=None)
                     z = zlib.compressobj(1, zlib.DEFLATED, 31)
-                    data = z.compress(record(kind, page_id, url or "", payload, refers)) + z.flush()
+                    own = response_id(digest(payload)) if kind == "response" and len(payload) >= dedup_bytes else record_id(f"{name} {at}")
+                    data = z.compress(record(kind, own, url or "", payload)) + z.flush()
                     out.write(data)
-                    rows.append((page_id, url, digest(payload), kind, refers, f"{folder}/{name}", at, len(data)))
+                    rows.append((own, page_id, url, digest(payload), kind, refers, f"{folder}/{name}", at, len(data)))
                     at += len(data)
-                cols = list(zip(*rows, strict=True)) or [[]] * 8
-                kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["page_id", "url", "payload_digest", "record_type", "refers_to", "file", "offset", "length"])
+                cols = list(zip(*rows, strict=True)) or [[]] * 9
+                kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["record_id", "page_id", "url", "payload_digest", "record_type", "refers_to", "file", "offset", "length"])
         finally:
             if out is not None:
                 out.close()
@@ -135,7 +147,7 @@ def read(selected: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, opened = None, ("", None)
         for b in batches:
-            files, offsets, lengths, pages, refers = (b.column(n).to_pylist() for n in ("file", "offset", "length", "page_id", "refers_to"))
+            files, offsets, lengths, pages, refers, ids = (b.column(n).to_pylist() for n in ("file", "offset", "length", "page_id", "refers_to", "record_id"))
             i = 0
             while i < len(files):
                 j = i
@@ -152,7 +164,7 @@ def read(selected: DataFrame) -> DataFrame:
                     for k in range(i + lo, i + hi):
                         fields, payload = parse(zlib.decompress(block[offsets[k] - start : offsets[k] - start + lengths[k]], 31))
                         sha = fields["warc-payload-digest"].removeprefix("sha1:")
-                        if fields["warc-record-id"] != record_id(pages[k]) or (fields["warc-type"] == "response" and digest(payload) != sha):
+                        if fields["warc-record-id"] != ids[k] or (fields["warc-type"] == "response" and digest(payload) != sha):
                             raise ValueError(f"{files[k]} at {offsets[k]} isn't the record of the index")
                         rows.append((pages[k], fields["warc-target-uri"], fields["warc-type"], refers[k], sha, payload))
                     cols = list(zip(*rows, strict=True))
@@ -161,13 +173,17 @@ def read(selected: DataFrame) -> DataFrame:
         if opened[1] is not None:
             opened[1].close()
 
-    dealt = selected.repartition("file", F.floor(F.col("offset") / STRETCH)).sortWithinPartitions("file", "offset")
-    return dealt.select("page_id", "refers_to", "file", "offset", "length").mapInArrow(run, RECORD)
+    # a given number of parts: by the size of index rows, adaptive execution would leave all bytes to a few tasks
+    total = selected.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    cores = selected.sparkSession.sparkContext.defaultParallelism
+    stretch = min(max(total // (4 * cores), LEAST_STRETCH), STRETCH)
+    dealt = selected.repartition(2 * max(1, -(-total // stretch)), "file", F.floor(F.col("offset") / stretch)).sortWithinPartitions("file", "offset")
+    return dealt.select("record_id", "page_id", "refers_to", "file", "offset", "length").mapInArrow(run, RECORD)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, dedup_bytes: int = 0, folder: str | None = None) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type and refers_to of each row, from the archives."""
-    index = write(plan(pages, dedup_bytes), folder or scratch(spark, "warc"))
+    index = write(plan(pages, dedup_bytes), folder or scratch(spark, "warc"), dedup_bytes)
     back = stored(read(index).select("page_id", "record_type", "refers_to", "payload_digest", F.length("payload").cast("long").alias("payload_bytes")), "warc_records")
     whole = back.where("record_type = 'response'")
     # a revisit's payload is that of the response with its digest
