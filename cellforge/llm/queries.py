@@ -72,11 +72,15 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+#: Words that an item's two rarest words may be apart to be near.
+NEAR = 10
+
+
 def op8_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return positional_index.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("hit_ranges")
+    return positional_index.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=NEAR).drop("hit_ranges")
 
 
-OP8_SQL = r"""
+OP8_SQL = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS n, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
 ),
@@ -94,10 +98,21 @@ g AS (
 ),
 m AS (SELECT n, s, len, item_id FROM g JOIN w USING (len, words)),
 h AS (SELECT n, count(DISTINCT p) AS n_hit FROM (SELECT n, unnest(range(s, s + len)) AS p FROM m) GROUP BY n),
-t AS (SELECT n, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM m GROUP BY n)
+t AS (SELECT n, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM m GROUP BY n),
+tf AS (SELECT word, count(*) AS tf FROM (SELECT unnest(ws) AS word FROM d) GROUP BY word),
+r AS (
+  SELECT item_id, ws, word, row_number() OVER (PARTITION BY item_id, ws ORDER BY tf, word) AS k
+  FROM (SELECT DISTINCT item_id, ws, word FROM (SELECT item_id, ws, unnest(ws) AS word FROM i)) JOIN tf USING (word)
+),
+o AS (SELECT n, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM d),
+x AS (
+  SELECT a.n, count(DISTINCT r.item_id) AS n_near
+  FROM r JOIN r q ON r.item_id = q.item_id AND r.ws = q.ws AND r.k = 1 AND q.k = 2 JOIN o a ON a.word = r.word JOIN o b ON b.n = a.n AND b.word = q.word AND abs(a.pos - b.pos) <= {NEAR}
+  GROUP BY a.n
+)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h USING (n) LEFT JOIN t USING (n)
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN h USING (n) LEFT JOIN t USING (n) LEFT JOIN x USING (n)
 """
 
 
