@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellforge.llm.common import arrow_batches
+from cellforge.llm.common import arrow_batches, with_columns
 
 #: A worker keeps the ids of matches of at most so many characters, and so many of them, at once.
 KEEP_CHARS, KEEP_PIECES = 48, 600_000
@@ -106,33 +106,24 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -
     The ranks file is read by every worker at ranks_path, which must exist on each machine.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make(b: pa.RecordBatch) -> list[pa.Array]:
         c = codec(ranks_path, pattern)
-        for b in batches:
-            texts = [t or "" for t in b.column(text).to_pylist()]
-            ids = c.encode(texts)
-            spans = [c.offsets(t, i) for t, i in zip(texts, ids, strict=True)]
-            more = [pa.array(x, pa.list_(pa.int32())) for x in ([np.frombuffer(i, "<u4").astype(np.int32) for i in ids], [s[0].astype(np.int32) for s in spans], [s[1].astype(np.int32) for s in spans])]
-            yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, "ids", "starts", "ends"])
+        texts = [t or "" for t in b.column("_text").to_pylist()]
+        ids = c.encode(texts)
+        spans = [c.offsets(t, i) for t, i in zip(texts, ids, strict=True)]
+        return [pa.array(x, pa.list_(pa.int32())) for x in ([np.frombuffer(i, "<u4").astype(np.int32) for i in ids], [s[0].astype(np.int32) for s in spans], [s[1].astype(np.int32) for s in spans])]
 
-    arrow_batches(docs.sparkSession)
-    taken = {"ids", "starts", "ends"} & set(docs.columns) - {text}
-    docs = docs.drop(*taken)
-    return docs.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), ENCODED]))
+    return with_columns(docs, [F.col(f"`{text}`").cast("string").alias("_text")], ENCODED, make)
 
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str, ids: str = "ids") -> DataFrame:
     """encoded with the decoded bytes of its ids (null: empty)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make(b: pa.RecordBatch) -> list[pa.Array]:
         c = codec(ranks_path, pattern)
-        for b in batches:
-            out = [c.decode(np.array(i or [], "<u4").tobytes()) for i in b.column(ids).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], [*b.schema.names, "decoded"])
+        return [pa.array((c.decode(np.array(i or [], "<u4").tobytes()) for i in b.column("_ids").to_pylist()), pa.binary())]
 
-    arrow_batches(encoded.sparkSession)
-    encoded = encoded.drop("decoded")
-    return encoded.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema), "decoded binary"]))
+    return with_columns(encoded, [F.col(f"`{ids}`").alias("_ids")], "decoded binary", make)
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = False) -> DataFrame:

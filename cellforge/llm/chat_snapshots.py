@@ -24,11 +24,15 @@ BLOCK = 1024
 START, END = "<|im_start|>", "<|im_end|>\n"
 
 
+def _key() -> F.Column:
+    """A conversation's key as text; that of a null conv_id is no other one's."""
+    return F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("null"))
+
+
 def prefixes(turns: DataFrame) -> DataFrame:
     """conv_id, at (position from 1), h1, h2 (hashes of the turns up to it) and last (whether it ends the conversation)."""
     t = turns.select("conv_id", F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 62))).alias("turn"), "role", "text").withColumn("block", F.floor(F.col("turn") / BLOCK))
-    key = F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))
-    t = t.withColumn("key", key)
+    t = t.withColumn("key", _key())
     order = [F.col("turn"), F.col("role"), F.col("text")]
     inner = Window.partitionBy("key", "block").orderBy(*order)
     blocks = t.groupBy("key", "block").agg(F.count("*").alias("n"))
@@ -55,7 +59,7 @@ def maximal(turns: DataFrame) -> DataFrame:
 def render(turns: DataFrame) -> DataFrame:
     """conv_id, n_turns and rendered of each maximal conversation."""
     kept = maximal(turns)
-    t = turns.select(F.coalesce(F.col("conv_id").cast("string"), F.lit("null")).alias("key"), F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 62))).alias("turn"), "role", "text")
+    t = turns.select(_key().alias("key"), F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 62))).alias("turn"), "role", "text")
     lines = t.join(kept, "key").groupBy("key").agg(F.first("conv_id").alias("conv_id"), F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("ts"))
     said = F.transform("ts", lambda x: F.concat(F.lit(START), F.coalesce(x.role, F.lit("")), F.lit("\n"), F.coalesce(x.text, F.lit("")), F.lit(END)))
     return lines.select("conv_id", F.size("ts").cast("long").alias("n_turns"), F.array_join(said, "").alias("rendered"))

@@ -9,8 +9,10 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 #: Rows of an Arrow batch: texts are long, so the default of 10,000 rows could be a gigabyte.
 BATCH_ROWS = 512
@@ -27,6 +29,25 @@ def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def with_columns(docs: DataFrame, inputs: list[Column], more: str, make: Callable[[pa.RecordBatch], list[pa.Array]], arrow_rows: int = BATCH_ROWS) -> DataFrame:
+    """docs with the columns in more (a schema), which make gives for a batch of the inputs; columns of these names are replaced.
+
+    A row's own columns travel as one struct, so that their names, whatever they hold, aren't resolved again.
+    """
+    added = _parse_datatype_string(more).fields
+    own = [n for n in docs.columns if n not in {f.name for f in added}]
+    packed = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{n.replace('`', '``')}`") for n in own]).alias("row"), *inputs)
+    fields = [f for f in docs.schema.fields if f.name in own]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row = b.column(0)
+            yield pa.RecordBatch.from_arrays([*(row.field(i + 1) for i in range(len(own))), *make(b)], [*own, *(f.name for f in added)])
+
+    arrow_batches(docs.sparkSession, arrow_rows)
+    return packed.mapInArrow(run, StructType([*fields, *added]))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: spark.checkpoint.dir, or on one machine (tests) a folder of its own."""
     sc = spark.sparkContext

@@ -7,13 +7,13 @@ the rules' indicators gives most of them weight zero; the rest are compiled into
 expression, so that scoring needs no model on the executors.
 
 Labels are learnt only from rows whose crc32(doc_id as text) mod 4 is not 2. At most SAMPLE such rows
-are used, those of the smallest hash of the doc_id, so that the fit depends neither on the order nor
-on the partitions. Labels, lang, source and doc_id are never inputs of a score.
+are used, those of the smallest hash of the doc_id and in its order, so that the fit depends neither on the order nor
+on the partitions of the tables. Labels, lang, source and doc_id are never inputs of a score.
 
 Null and empty texts have all statistics zero and get a score. Rows without a label are scored too;
 labels that are null are not learnt. A null doc_id is not held out and not learnt from. Rows that
-repeat are scored alike; extra columns are kept, but for stats, _bytes and score, which are replaced. With no labelled rows the score is 0.5; with one
-class it is that class's (smoothed) share.
+repeat are scored alike; extra columns are kept, but for stats and score, which are replaced. With no labelled rows the score is 0.5; with one
+class it is that class's (smoothed) share; either model has no rules.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellforge.llm.common import arrow_batches
+from cellforge.llm.common import with_columns
 
 #: Rows to fit on, at most.
 SAMPLE = 20_000
@@ -77,17 +77,12 @@ _ODD_END = frozenset(_SYMBOL + b"!|")
 def with_statistics(docs: DataFrame) -> DataFrame:
     """docs with a struct column stats; docs must have text."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [statistics(t or b"") for t in b.column("_bytes").to_pylist()]
-            stats = pa.StructArray.from_arrays([pa.array(c, pa.float64()) for c in (zip(*rows, strict=True) if rows else [[]] * len(STATS))], STATS)
-            rest = [i for i, n in enumerate(b.schema.names) if n != "_bytes"]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in rest), stats], [*(b.schema.names[i] for i in rest), "stats"])
+    def make(b: pa.RecordBatch) -> list[pa.Array]:
+        rows = [statistics(t or b"") for t in b.column("_bytes").to_pylist()]
+        return [pa.StructArray.from_arrays([pa.array(c, pa.float64()) for c in (zip(*rows, strict=True) if rows else [[]] * len(STATS))], STATS)]
 
-    arrow_batches(docs.sparkSession)
-    docs = docs.drop("stats", "_bytes")
-    kind = "struct<" + ",".join(f"{s}:double" for s in STATS) + ">"
-    return docs.withColumn("_bytes", F.col("text").cast("string").cast("binary")).mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"stats {kind}"]))
+    kind = "stats struct<" + ",".join(f"{s}:double" for s in STATS) + ">"
+    return with_columns(docs, [F.col("text").cast("string").cast("binary").alias("_bytes")], kind, make)
 
 
 #: One side of a rule: (statistic, whether it must be above the threshold, threshold).
@@ -192,10 +187,15 @@ def fold(doc_id: str = "doc_id") -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fits labels.quality on at most `sample` labelled rows that are not held out."""
+    """Fits labels.quality on at most `sample` labelled rows that are not held out: those of the smallest hashes of their doc_id.
+
+    Where a doc_id has several texts or labels, ties of the hash go by the label and the statistics; rows are fit in that order.
+    """
     known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where((fold() != HELD_OUT) & F.col("quality").isin(0, 1))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
-    rows = with_statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).select("quality", "stats.*").limit(4 * sample).toPandas()
+    by = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("quality")]
+    chosen = known.orderBy(*by).limit(sample)
+    each = with_statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).select("doc_id", "quality", "stats.*")
+    rows = each.orderBy(*by, *STATS).limit(sample).toPandas()
     return fit_arrays(rows[list(STATS)].to_numpy(float), rows["quality"].to_numpy(float))
 
 

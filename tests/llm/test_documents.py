@@ -348,3 +348,82 @@ def test_text_over_a_mebibyte(spark):
     got = {r.doc_id: r for r in suffix_dedup.removals(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert (got[1].n_removed, got[1].n_spans) == (700, 1) and got[2].n_removed == 700
     assert {r.doc_id: len(r.text) for r in suffix_dedup.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {1: 2_499_300, 2: 2}
+
+
+def test_dotted_and_clashing_columns(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    docs = spark.createDataFrame([(1, "some text", "x", 5, "q", [9]), (2, None, None, None, None, None)], "doc_id long, text string, `a.b` string, stats int, score string, ids array<int>")
+    got = rule_quality.score(docs, rule_quality.Model(0.0, ()))
+    assert got.columns == ["doc_id", "text", "a.b", "ids", "score"] and [r[2] for r in got.orderBy("doc_id").collect()] == ["x", None]
+    coded = byte_bpe.encode(docs, path, public_tokenizers.PATTERN)
+    assert coded.columns == ["doc_id", "text", "a.b", "stats", "score", "ids", "starts", "ends"]
+    back = byte_bpe.decode(coded.withColumnRenamed("ids", "decoded"), path, public_tokenizers.PATTERN, ids="decoded")
+    assert {r.doc_id: bytes(r.decoded) for r in back.collect()} == {1: b"some text", 2: b""}
+    assert byte_bpe.encode(docs.limit(0), path, public_tokenizers.PATTERN).count() == byte_bpe.decode(coded.limit(0), path, public_tokenizers.PATTERN).count() == 0
+
+
+def quality_rows(n):
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randrange(2, 9))) for _ in range(200)]
+    good = lambda: " ".join(rng.choices(words, k=rng.randrange(20, 200))).capitalize() + "."
+    bad = lambda: " ".join(w.upper() + rng.choice(["!!", "$$", " |", ""]) for w in rng.choices(words[:20], k=rng.randrange(5, 300)))
+    return [(i, good() if i % 3 else bad(), int(i % 3 > 0) if i % 17 else int(i % 3 == 0)) for i in range(n)]
+
+
+def test_fit_does_not_depend_on_order_and_column_equals_arrays(spark):
+    rows = quality_rows(900)
+    rows += rows[:40] + [(5, "another text of a taken id", 1), (6, None, 0), (7, "word " * 60_000, 0)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int")
+    models = [rule_quality.fit(docs.repartition(n), labels.repartition(m), 500) for n, m in ((1, 4), (5, 1))]
+    assert models[0] == models[1] and models[0].rules
+    scored = rule_quality.with_statistics(docs).withColumn("score", models[0].column()).select("stats.*", "score").toPandas()
+    assert np.abs(models[0].score(scored[list(rule_quality.STATS)].to_numpy(float)) - scored["score"].to_numpy()).max() < 1e-12
+
+
+def test_lasso_is_at_its_optimum():
+    rng = np.random.default_rng(3)
+    r = (rng.random((400, 12)) < 0.4).astype(float)
+    y = (rng.random(400) < 1 / (1 + np.exp(-(2 * r[:, 0] - 2 * r[:, 1] + 0.2)))).astype(float)
+    b, w = rule_quality._lasso(r, y)
+    grad = r.T @ (1 / (1 + np.exp(-(r @ w + b))) - y) / len(y)
+    assert np.abs(grad[w != 0] + rule_quality.LASSO * np.sign(w[w != 0])).max() < 1e-6
+    assert np.abs(grad).max() <= rule_quality.LASSO + 1e-6 and abs((1 / (1 + np.exp(-(r @ w + b))) - y).mean()) < 1e-6
+
+
+def test_paths_split_as_a_search_over_all_thresholds():
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 30, (300, 3)).astype(float)
+    y = (x[:, 1] > 14).astype(float)
+    first = min(rule_quality._paths(x, y), key=len)
+    p = np.full(300, (y.mean() + 1e-3) / (1 + 2e-3))
+    p = 1 / (1 + np.exp(-np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))))
+    g, h = y - p, p * (1 - p) + 1e-6
+
+    def gain(s, t):
+        left = x[:, s] <= t
+        if not rule_quality.LEAST_ROWS <= left.sum() <= 300 - rule_quality.LEAST_ROWS:
+            return -1
+        part = lambda m: g[m].sum() ** 2 / (h * m.sum() + 1)
+        return part(left) + part(~left) - part(np.ones(300, bool))
+
+    best = max((gain(s, t), s, t) for s in range(3) for t in np.unique(x[:, s]))
+    assert (first[0][0], first[0][2]) == best[1:]
+
+
+@pytest.mark.parametrize("what", ["labels", "documents", "benchmark", "one class"])
+def test_pipeline_with_an_empty_table(spark, tmp_path, what):
+    import corpus_pipeline
+
+    rows = [(i, f"words of document {i} " * (i + 1), "en", "s", None) for i in range(12)] + [(None, None, None, None, None), (3, "", None, "s", 0)]
+    labels = [] if what == "labels" else [(i, 1 if what == "one class" else i % 2, 0) for i in range(12)]
+    bench = [] if what == "benchmark" else [(1, "document 5 words of document 5 words of document 5"), (2, None)]
+    for name, data, schema in (("documents", [] if what == "documents" else rows, "doc_id long, text string, lang string, source string, n_chars long, score double"), ("labels", labels, "doc_id long, quality int, toxic int"), ("benchmark", bench, "item_id long, text string")):
+        spark.createDataFrame([(*r, 1.0) if name == "documents" else r for r in data], schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert {"doc_id", "n_tokens", "ids"} <= set(out.columns) and (out.count() == 0) == (what == "documents")
+    if what in ("labels", "one class"):
+        kept = corpus_pipeline.quality(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path))
+        assert kept.count() == len(rows) and kept.columns == list(corpus_pipeline.COLUMNS)

@@ -285,3 +285,22 @@ def test_chat(spark):
 def test_empty_pages(spark, pages):
     none = pages.limit(0)
     assert warc.round_trip(spark, none).count() == 0 and wrapper_html.extract(none).count() == 0
+
+
+def test_conversations_that_repeat_and_odd_keys(spark):
+    rows = [("null", 1, "user", "a", 9), ("null", 2, "bot", "b", 9), (None, 1, "user", "a", 9), (None, 2, "bot", "c", 9), ("x", 1, "user", "a", 9), ("x", 1, "user", "a", 9), ("y", 1, "user", "a", 9)]
+    turns = spark.createDataFrame(rows, "conv_id string, turn long, role string, text string, at long")
+    got = sorted((repr(r.conv_id), r.n_turns) for r in chat_snapshots.render(turns).collect())
+    # y is a prefix of the others; the rows of x that repeat are two turns
+    assert got == [("'null'", 2), ("'x'", 2), ("None", 2)]
+
+
+def test_urls_of_an_empty_table(spark):
+    rules = spark.createDataFrame(URL_RULES, "action string, host string, path string")
+    assert url_filter.judge(spark.createDataFrame([], SCHEMA), rules).count() == 0
+
+
+def test_very_many_equal_vectors(spark):
+    rows = [(i, [1.0, 0.0], 0) for i in range(5000)] + [(5000, [1.0, 0.01], 0), (5001, [0.0, 1.0], 0)]
+    got = {r.vec_id: r for r in sphere_cells.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    assert (got[0].n_links, got[5000].n_links, got[5001].n_links) == (5000, 5000, 0) and got[5000].component_id == 0 and got[5001].kept
