@@ -5,6 +5,8 @@ All pages are derived from the driver's tables; each docstring says how. Importi
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,8 +15,9 @@ from cellforge.functions import text as T
 from cellforge.operators import cells, features, headers, records
 from cellforge.plans import export, ingest, retrieval
 from cellforge.queries import POINTS, READABLE_SQL, VALID, _relations, html_tables, points, query, read, tr
-from cellforge.sources import pubmed
+from cellforge.sources import pubmed, readers
 from cellforge.sources.registry import IDENTIFIERS
+from cellforge.streaming import incremental
 
 #: What a publisher's page has: a mark that tells it, a container for each table ({n} its number, {c} caption, {f} notes, {r} rows), and
 #: in SQL over n, d and g (0 or 1) what is read: position, number, label, caption, notes.
@@ -497,3 +500,140 @@ def readability_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text of the part of a page whose paragraphs weigh most; the pages' only paragraphs and headings are in it."""
     p = read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "html", F.lit(None).cast("string").alias("source"))
     return ingest.articles(p, settings=DEFAULTS.with_changes(use_readability=True)).select(F.col("id").alias("page_id"), "text")
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{readers.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _nation_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as tables of their regions: article_id, id and input_html, a page of a publisher with one table."""
+    n = read(spark, sf_dir, "nation")
+    key = F.col("n_nationkey").cast("string")
+    html = F.concat(F.lit("<p>OUP Academic</p><div class='table-wrap'><table>" + HEAD + "<tr><td>"), "n_name", F.lit("</td><td>"), key, F.lit("</td><td>-5</td><td>7</td></tr></table></div>"))
+    return n.select(F.col("n_regionkey").cast("long").alias("article_id"), F.col("n_nationkey").cast("long").alias("id"), html.alias("input_html"))
+
+
+_NATION_HTML = "'<p>OUP Academic</p><div class=''table-wrap''><table><tr><th>Region</th><th>x</th><th>y</th><th>z</th></tr><tr><td>' || n_name || '</td><td>' || n_nationkey || '</td><td>-5</td><td>7</td></tr></table></div>'"
+
+
+@query(f"SELECT CAST(n_nationkey AS BIGINT) AS doc_id, 'tables/' || n_regionkey || '/' || n_nationkey || '.html' AS path, {_NATION_HTML} AS html FROM nation")
+def files_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables written as files under the paths that tables.csv names, and read back by a glob; a file's stem is its number."""
+    folder = _folder(spark, "table-files")
+    export.table_files(_nation_pages(spark, sf_dir), folder).write.format("noop").mode("overwrite").save()
+    return readers.pages(spark, f"{folder}/tables/*/*.html").select("doc_id", F.regexp_extract("path", "(tables/.*)$", 1).alias("path"), "html")
+
+
+@query("SELECT CAST(7 AS BIGINT) AS n")
+def random_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A limit takes so many random files of a glob."""
+    folder = _folder(spark, "some-files")
+    export.table_files(_nation_pages(spark, sf_dir), folder).write.format("noop").mode("overwrite").save()
+    return readers.pages(spark, f"{folder}/tables/*/*.html", limit=7, seed=1).agg(F.count_distinct("doc_id").alias("n"))
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS doc_id, 'OUP' AS source, n_name AS region, CAST(n_nationkey AS DOUBLE) AS x, CAST(-5 AS DOUBLE) AS y FROM nation")
+def stream_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that arrive in a folder, ingested as a stream in two runs, the second with files that were there before: records of each once."""
+    folder, store = _folder(spark, "arriving"), _folder(spark, "stream-store")
+    n = _nation_pages(spark, sf_dir).withColumn("article_id", F.lit(0).cast("long"))
+    for part in (n.where("id % 2 = 0"), n):
+        export.table_files(part, folder).write.format("noop").mode("overwrite").save()
+        incremental.ingest_stream(incremental.page_stream(spark, f"{folder}/tables/0"), store, f"{store}/state").awaitTermination(300)
+    found = spark.read.parquet(f"{store}/records").join(spark.read.parquet(f"{store}/pages").select("doc_id", "source"), "doc_id")
+    return found.select("doc_id", "source", "region", "x", "y")
+
+
+@query("SELECT c_custkey AS id, c_name AS title FROM customer WHERE c_custkey % 2 = 0")
+def store_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A relation that is saved twice and read back: the second version."""
+    settings = DEFAULTS.with_changes(store_uri=_folder(spark, "store"))
+    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("title"))
+    readers.save(c, settings, "articles")
+    readers.save(readers.relation(spark, settings, "articles").where("id % 2 = 0"), settings, "articles")
+    return readers.relation(spark, settings, "articles")
+
+
+@query("SELECT 'stored' AS state, page_id AS pmid FROM pages WHERE page_id % 3 = 1 UNION ALL SELECT 'failed', page_id FROM pages WHERE page_id % 3 = 2")
+def page_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages by journal in a store: every third is there, every third is blocked and listed as failed, the others are written."""
+    folder, k = _folder(spark, "pages"), F.col("page_id") % 3
+    p = read(spark, sf_dir, "pages").select(F.col("page_id").alias("pmid"), F.concat(F.lit("J"), (F.col("page_id") % 5).cast("string")).alias("journal"), F.when(k == 2, F.concat("html", F.lit("403 Forbidden"))).otherwise(F.col("html")).alias("html"))
+    failed = retrieval.store_pages(p, folder, p.where("pmid % 3 = 0"))
+    return spark.read.parquet(folder).select(F.lit("stored").alias("state"), "pmid").union(failed.select(F.lit("failed"), "pmid"))
+
+
+@query("SELECT r_regionkey, r_name FROM region")
+def tab_separated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions as a tab-separated file with a header, read back."""
+    folder = _folder(spark, "tsv")
+    read(spark, sf_dir, "region").write.csv(folder, sep="\t", header=True)
+    return readers.tsv(spark, folder, "r_regionkey int, r_name string")
+
+
+@query("""
+WITH a AS (SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) OR EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = c_custkey))
+SELECT 'metadata' AS file, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS ids FROM a UNION ALL SELECT 'tables', count(*), CAST(sum(o_custkey) AS BIGINT) FROM orders JOIN a ON o_custkey = c_custkey
+UNION ALL SELECT 'export.json', (SELECT count(*) FROM a), (SELECT count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN a ON o_custkey = c_custkey)
+""")
+def export_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An export written as files and read back: rows of two files, and two counts of the manifest."""
+    folder = _folder(spark, "export")
+    export.write(spark, folder, **_relations(spark, sf_dir))
+    of = lambda name: spark.read.csv(f"{folder}/{name}.csv", header=True, escape='"').agg(F.lit(name).alias("file"), F.count("*").alias("n"), F.sum(F.col("pmid").cast("long")).alias("ids"))
+    said = spark.read.schema("n_articles long, n_activations long").json(f"{folder}/export.json").select(F.lit("export.json"), "n_articles", "n_activations")
+    return of("metadata").union(of("tables")).union(said)
+
+
+@query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'Bare' WHEN 1 THEN 'Own' END AS source, CASE page_id % 3 WHEN 1 THEN 'a!b' ELSE 'a&odd;b' END AS text FROM pages")
+def configured_publishers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Publishers from JSON configs, a pattern and a mark, identify pages; one of them writes a character oddly."""
+    folder = _folder(spark, "configs")
+    own = [("Own", '{"name": "Some Press", "identifiers": ["press of [0-9]+"], "entities": {"&odd;": "!"}, "delay": 3}'), ("Bare", '{"name": "B", "identifiers": ["bare mark"]}')]
+    rows = spark.createDataFrame(own, "name string, value string")
+    for name, _ in own:  # two files
+        rows.where(F.col("name") == name).select("value").coalesce(1).write.text(f"{folder}/{name}")
+    found = spark.read.text(f"{folder}/*", wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/[^/]+$", 1).alias("source"), F.from_json("value", "name string, identifiers array<string>, entities map<string,string>, delay int").alias("c"))
+    known = readers.publishers_of(found.select("source", "c.name", "c.identifiers", "c.entities", F.coalesce("c.delay", F.lit(0)).alias("delay")))
+    k = F.col("page_id") % 3
+    html = F.when(k == 0, "bare mark, press of 3 a&odd;b").when(k == 1, F.concat(F.lit("by press of "), F.col("page_id").cast("string"), F.lit(" a&odd;b"))).otherwise("press of none a&odd;b")
+    pages = ingest.screened(read(spark, sf_dir, "pages").select("page_id", html.alias("html")), known)
+    entities = {p.name: {k: v for k, v in p.entities.items() if k == "&odd;"} for p in known}
+    text = F.col("html")
+    for name, marks in entities.items():
+        text = F.when(F.col("source") == name, T.decode_entities(F.col("html"), marks)).otherwise(text) if marks else text
+    return pages.select("page_id", "source", F.regexp_extract(text, r"(a\S*b)$", 1).alias("text"))
+
+
+@query("SELECT '(Brain+Res[Journal]+journal+article[pt]+fmri)' AS query")
+def search_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query of a journal's articles with a further term."""
+    return spark.range(1).select(F.lit(pubmed.query("Brain Res", "fmri")).alias("query"))
+
+
+@query(f"""
+WITH {POINTS.format(s=300)}
+SELECT vec_id, '["set ' || label || '"]' AS groups, '{{"name":"v' || vec_id || '"}}' AS extra FROM p WHERE {VALID}
+""")
+def json_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record's groups, and its columns of no standard kind, as JSON."""
+    p = points(spark, sf_dir)
+    p = p.join(p.groupBy("doc", "label").agg(F.min("vec_id").alias("first")), ["doc", "label"])
+    heading = F.concat(F.lit("<tr><td colspan=4>set "), F.col("label").cast("string"), F.lit("</td></tr>"))
+    row = F.concat(F.when(F.col("vec_id") == F.col("first"), heading).otherwise(""), tr(F.concat(F.lit("v"), F.col("vec_id").cast("string")), *map(F.col, "xyz")))
+    found = records.records(cells.extract(html_tables(p, "<tr><th>Name</th><th>x</th><th>y</th><th>z</th></tr>", row, "label,vec_id")))
+    name = F.element_at("columns", "name")
+    return found.select(F.substring(name, 2, 20).cast("long").alias("vec_id"), F.to_json("groups").alias("groups"), F.to_json(F.map_filter("columns", lambda k, v: k == "name")).alias("extra"))
+
+
+@query(f"""
+WITH {POINTS.format(s=300)}
+SELECT doc AS doc_id, count(*) AS n_records FROM p WHERE doc % 2 = 0 AND {VALID} GROUP BY doc
+""")
+def unlabelled_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a setting that leaves out tables with a column without a label: every second page has one."""
+    row = F.concat(F.lit("<tr><td>area "), F.col("label").cast("string"), F.lit("</td>"), *[F.concat(F.lit("<td>"), F.col(a).cast("string"), F.lit("</td>")) for a in "xyz"], F.when(F.col("doc") % 2 == 1, "<td></td>").otherwise(F.concat(F.lit("<td>N"), F.col("vec_id").cast("string"), F.lit("</td>"))), F.lit("</tr>"))
+    pages = html_tables(points(spark, sf_dir), "<tr><th>Region</th><th>x</th><th>y</th><th>z</th><th></th></tr>", row)
+    found = records.records(cells.extract(pages), DEFAULTS.with_changes(exclude_unlabelled=True))
+    return found.groupBy("doc_id").agg(F.count("*").alias("n_records"))

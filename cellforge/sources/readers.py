@@ -52,17 +52,19 @@ def versions(spark: SparkSession, folder: str) -> list[str]:
     return [n for n in names if fs.exists(_fs(spark, f"{folder}/{n}/_SUCCESS")[1])]
 
 
-def materialised(df: DataFrame) -> DataFrame:
-    """df as a checkpoint in the folder that spark.checkpoint.dir names: what follows doesn't make it again, and plans stay small.
-
-    Only on one machine (tests) a folder is made where none is named.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; only on one machine (tests) one is made where none is named."""
     sc, named = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
         if named is None and not sc.master.startswith("local[") and sc.master != "local":
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="cellforge-"))
+    return (named or sc.getCheckpointDir()).rstrip("/")
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """df as a checkpoint in the shared folder: what follows doesn't make it again, and plans stay small."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
