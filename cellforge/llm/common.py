@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
@@ -174,17 +174,18 @@ def components(edges: DataFrame) -> DataFrame:
         moved = pairs.join(least, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         return kept.union(moved).distinct()
 
-    def mark(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    def written(df: DataFrame, store: Callable[[DataFrame, str], DataFrame]) -> tuple[DataFrame, tuple]:
+        """The table, and its number of rows and sum of hashes, taken while it is written."""
+        seen = Observation()
+        out = store(df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")), "round")
+        return out, tuple(seen.get.values())
 
     pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
     with temporary(edges.sparkSession) as keep:
-        pairs = stored(pairs, "round")
-        before = mark(pairs)
+        pairs, before = written(pairs, stored)
         for _ in range(MAX_ROUNDS):
             with temporary(edges.sparkSession) as own:
-                pairs = own(star(stored(star(pairs, True), "half"), False), "round")
-            now = mark(pairs)
+                pairs, now = written(star(stored(star(pairs, True), "half"), False), own)
             if now == before:
                 roots = pairs.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
                 return keep(pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots), "roots")
