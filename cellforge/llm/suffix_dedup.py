@@ -20,7 +20,8 @@ removed. Texts are whole UTF-8 bytes; matches never cross texts.
    a task. Its contexts are refined by counting: cells of 32, then 8, then single window offsets
    are kept while their common core occurs in two contexts; what is left are exactly the windows
    that repeat. Counts are map-side combined, so nothing gathers, and nothing is cut or sampled.
-5. The reaches go back to all places of a context, are merged per text and cut out.
+5. The reaches go back to all places of a context, are merged per text and cut out. Texts are shuffled only
+   where a Bloom filter lets them pass: to take contexts from them, and to cut them.
 
 Null and empty texts keep all their (zero) bytes. A row's key is its doc_id and its text, so rows that
 repeat are two places of each string and are judged alike; a null doc_id is a key too. Extra columns
@@ -39,6 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellforge.llm.common import arrow_batches, stored, temporary
+from cellforge.llm.url_filter import bloom_filter, probed
 
 LEAST, GRAM = 400, 128
 #: Runs of so short a period give anchors only to the windows within them.
@@ -437,6 +439,24 @@ def _counted_windows(contexts: DataFrame, least: int) -> DataFrame:
     return _alive_windows(contexts, least).groupBy("a", "c").agg(F.max("off").alias("l"), (least - F.min("off")).alias("r"))
 
 
+def _key() -> F.Column:
+    return F.concat_ws(" ", "d", "h").alias("key")
+
+
+def _told(texts: DataFrame, rows: DataFrame, name: str) -> DataFrame:
+    """texts (d, h, ...) with maybe: false where a Bloom filter over the keys of rows (d, h) says that it has none of theirs."""
+    bloom, blocks = bloom_filter(rows.select(_key()), rows.count())
+    return probed(texts.select("*", _key()), stored(bloom, name), blocks).drop("key")
+
+
+def _joined(texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """texts (d, h, ...) with the columns of rows, null where there are none; only texts that may have some are shuffled."""
+    each = _told(texts, rows, "span_filter")
+    met = each.where("maybe").drop("maybe").join(rows, ["d", "h"], "left")
+    rest = each.where("NOT maybe").select(*[c if c in texts.columns else F.lit(None).cast(t).alias(c) for c, t in met.dtypes])
+    return met.union(rest)
+
+
 def _contexts(docs: DataFrame, anchors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(a, c, before, after) of contexts that occur twice, and (a, c, before, ctx, hot) of those whose anchor string has different ones."""
     rep = F.min(F.struct("d", "h", "pos", "before", "after")).alias("rep")
@@ -445,7 +465,7 @@ def _contexts(docs: DataFrame, anchors: DataFrame) -> tuple[DataFrame, DataFrame
     # tables on both sides of a join are exchanges of their own, so adaptive execution can split a hot key
     mixed = stored(each.groupBy("a").agg(F.count("*").alias("different")).where("different > 1"), "mixed")
     wanted = each.join(mixed, "a").select("rep.*", "a", "c", (F.col("different") > GROUP).alias("hot"))
-    wanted = wanted.groupBy("d", "h").agg(F.collect_list(F.struct("pos", "before", "after", "a", "c", "hot")).alias("places"))
+    wanted = stored(wanted.groupBy("d", "h").agg(F.collect_list(F.struct("pos", "before", "after", "a", "c", "hot")).alias("places")), "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -458,6 +478,7 @@ def _contexts(docs: DataFrame, anchors: DataFrame) -> tuple[DataFrame, DataFrame
             yield pa.RecordBatch.from_arrays([p.field("a"), p.field("c"), p.field("before"), pa.array(ctx, pa.binary()), p.field("hot")], ["a", "c", "before", "ctx", "hot"])
 
     texts = keyed(docs).select(F.col("_d").alias("d"), F.col("_h").alias("h"), "_text")
+    texts = _told(texts, wanted, "place_filter").where("maybe").drop("maybe")
     return whole, stored(texts.join(wanted, ["d", "h"]).select("_text", "places").mapInArrow(run, "a long, c long, before int, ctx binary, hot boolean"), "context_bytes")
 
 
@@ -532,7 +553,7 @@ def removals(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame
     found = spans(docs, least, gram)
     texts = keyed(docs.select(F.col("doc_id").cast("long"), "text")).select("doc_id", F.col("_d").alias("d"), F.col("_h").alias("h"), "_text")
     arrow_batches(docs.sparkSession, 256)
-    return texts.join(found, ["d", "h"], "left").select("doc_id", "_text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
+    return _joined(texts, found).select("doc_id", "_text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
 
 
 def cut_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
@@ -552,4 +573,4 @@ def cut_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFr
     arrow_batches(docs.sparkSession, 256)
     rows = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"))
     rows = rows.select("row", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64(F.col("row.text").cast("string")).alias("h"))
-    return rows.join(found, ["d", "h"], "left").select("row", "spans").mapInArrow(run, docs.schema)
+    return _joined(rows, found).select("row", "spans").mapInArrow(run, docs.schema)
