@@ -185,7 +185,7 @@ def components(edges: DataFrame) -> DataFrame:
         pairs, before = written(pairs, stored)
         for _ in range(MAX_ROUNDS):
             with temporary(edges.sparkSession) as own:
-                pairs, now = written(star(stored(star(pairs, True), "half"), False), own)
+                pairs, now = written(star(star(pairs, True), False), own)
             if now == before:
                 roots = pairs.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
                 return keep(pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots), "roots")
