@@ -19,7 +19,6 @@ class it is that class's (smoothed) share; either model has no rules.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
