@@ -317,7 +317,7 @@ def constants(x: Tree, y: Tree) -> list[tuple[int, int]]:
 
 def learn(pages: list[str]) -> bytes | None:
     """The template of different pages of a host: constant nodes with their ancestors, once for each way that pages have them."""
-    trees = [Tree.of(blocks(parse(p)))[0] for p in pages]
+    trees = [Tree.of(blocks(parse(p, bare=True)))[0] for p in pages]
     need, found = min(SUPPORT, len(trees) - 1), []
     for n, x in enumerate(trees[:BASES] if need else ()):
         times = [0] * len(x.labels)
@@ -374,7 +374,7 @@ def main_text(html: str, template: bytes | None = None) -> str:
     """The main text of a page, with its host's template."""
     if not html:
         return ""
-    page = blocks(parse(html))
+    page = blocks(parse(html, bare=True))
     _mark(page, template)
     regions, work = [], [page]
     while work:

@@ -203,3 +203,10 @@ def test_own_address_and_scripted_tables():
     assert extractors.own_address(parse('<meta property="og:url" content="http://b"><meta name="citation_public_url" content="http://a">')) == "http://a"
     assert extractors.own_address(parse('<meta name="dc.Identifier" content="x"><meta name="citation_public_url" content="">')) is None
     assert extractors.expands_by_script(parse("<p>View <b>popup</b></p>")) and extractors.expands_by_script(parse("<i class='TABLE-EXPAND-INLINE'>")) and not extractors.expands_by_script(parse("<p>table</p>"))
+
+
+def test_references_without_a_semicolon_stay_in_the_main_part():
+    from cellforge.functions.dom import readable_text
+
+    assert readable_text(parse("<title>t</title><article><h1>a&amp;&amp; b&amp</h1><p>&ampx; &copy &lt;p&gt; &amp;amp &#65 &eacute;</p></article>")) == "a&& b&amp\n\n&ampx; &copy <p> &amp A é"
+    assert parse("<h1>b&amp</h1>", bare=True).text() == "b&"
