@@ -210,3 +210,10 @@ def test_references_without_a_semicolon_stay_in_the_main_part():
 
     assert readable_text(parse("<title>t</title><article><h1>a&amp;&amp; b&amp</h1><p>&ampx; &copy &lt;p&gt; &amp;amp &#65 &eacute;</p></article>")) == "a&& b&amp\n\n&ampx; &copy <p> &amp A é"
     assert parse("<h1>b&amp</h1>", bare=True).text() == "b&"
+
+
+def test_references_without_a_semicolon_stay_in_readable_text(spark):
+    from cellforge.functions.text import readable
+
+    pages = spark.createDataFrame([(1, "<h1>a&amp;&amp; b&amp</h1><p>c &lt;d&gt;</p>"), (2, None)], "page_id long, html string")
+    assert {r.page_id: r.text for r in pages.select("page_id", readable("html").alias("text")).collect()} == {1: "a&& b&amp\n\nc <d>", 2: None}
