@@ -7,7 +7,7 @@ SimHash comes first: each set has a fingerprint of its shingles, and pigeonhole
 of nodes that differ in two bits at most. Such a radius finds only the closest copies: a similarity of 0.8 is about ten differing
 bits, for which no blocks select. So the rest of the pairs come from a prefix filter: similar sets of n shingles
 share one of the first n - ceil(0.8 n) + 1 shingles of each in any one order of all shingles, and only those are listed.
-The order takes shingles first that a sample didn't find common, so that license lines and the like come last;
+The order takes shingles first that few texts have, counted over all texts, so that license lines and the like come last;
 it decides the cost alone, never the result.
 
 The nodes of a list of up to BUCKET are paired. Two nodes that meet in larger lists alone are both among the crowded nodes, a
@@ -35,8 +35,8 @@ from cellforge.llm.simhash import LOWER, keep_first, majority
 from cellforge.llm.url_filter import bloom_filter, probed
 
 WORDS = 5
-#: Texts that common shingles are looked for in, how often one is found there at least, and how many are used.
-SAMPLE, COMMON, MOST = 100_000, 3, 400_000
+#: How many texts have a common shingle at least, and how many of these, the most frequent ones, come last in the order.
+COMMON, MOST = 3, 400_000
 #: Largest list whose pairs are made in a row of its own, how many nodes of a larger one all others are compared with in a round, and rounds.
 BUCKET, HUBS, ROUNDS = 16, 4, 1
 
@@ -56,17 +56,16 @@ def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
 
 
 def _common(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Common shingles, in order of their hashes, and how often each is in the sample."""
+    """Common shingles, in order of their hashes, and how many texts have each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingles(t or b"", words) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *sets]))], ["s"])
 
-    every = max(docs.count() // SAMPLE, 1)
-    some = docs.select(F.col("text").cast("string").cast("binary").alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0)
+    texts = docs.select(F.col("text").cast("string").cast("binary").alias("text"))
     with temporary(docs.sparkSession):
-        counts = stored(some.mapInArrow(run, "s long").groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON), "common")
+        counts = stored(texts.mapInArrow(run, "s long").groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON), "common")
         # the most frequent ones, by how many there are of each frequency; a table of all isn't sorted for that
         of_each = counts.groupBy(F.least("n", F.lit(1_000)).alias("n")).agg(F.count("*").alias("k")).collect()  # 1,000 rows at most
         least, sum_ = COMMON, 0

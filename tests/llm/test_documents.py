@@ -383,6 +383,30 @@ def test_fit_does_not_depend_on_order_and_column_equals_arrays(spark):
     assert np.abs(models[0].score(scored[list(rule_quality.STATS)].to_numpy(float)) - scored["score"].to_numpy()).max() < 1e-12
 
 
+def test_fit_takes_all_labelled_rows(spark):
+    rows = quality_rows(900)
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int")
+    known = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    x, y = np.array([rule_quality.statistics(t.encode()) for _, t, _ in known]), np.array([float(q) for *_, q in known])
+    paths = rule_quality._paths(x, y)
+    b, w = rule_quality._lasso(np.stack([rule_quality._holds(x, p) for p in paths], 1).astype(float), y)
+    want = rule_quality.Model(b, tuple((float(a), p) for a, p in zip(w, paths, strict=True) if abs(a) > 1e-9))
+    got = rule_quality.fit(docs, labels, 100)
+    assert got.rules and np.abs(got.score(x) - want.score(x)).max() < 1e-6
+
+
+@pytest.mark.parametrize("n", [1, 7, 500])
+def test_thresholds_are_quantiles_of_all_rows(n):
+    rng = np.random.default_rng(n)
+    x = np.stack([rng.random(n), np.exp(rng.normal(0, 4, n)), rng.integers(0, 5, n).astype(float), rng.normal(0, 3, n), np.zeros(n)], 1)
+    parts = np.array_split(x, 3)
+    cuts = rule_quality._cuts(lambda f: sum(f(p, p[:, 0]) for p in parts), n, 5)
+    for c, v in zip(cuts, x.T, strict=True):
+        want = np.unique(np.quantile(v.astype(np.float32), np.linspace(0, 1, rule_quality.BINS + 1)[1:-1]))
+        assert len(c) <= rule_quality.BINS - 1 and all(np.abs(want - a).min() <= 3e-7 * max(abs(a), 1e-30) for a in c) and all(np.abs(c - a).min() <= 3e-7 * max(abs(a), 1e-30) for a in want)
+
+
 def test_lasso_is_at_its_optimum():
     rng = np.random.default_rng(3)
     r = (rng.random((400, 12)) < 0.4).astype(float)

@@ -53,3 +53,14 @@ def test_near_dedup_links_all_pairs_of_0_8(spark, monkeypatch, common, bucket):
     got = corpus_pipeline.near_dedup(spark, docs, "").collect()
     assert sorted([(repr(r.doc_id), r.text) for r in got], key=repr) == want
     assert 100 < len(want) < len(data) - 150
+
+
+def test_common_shingles_are_counted_in_all_texts(spark, monkeypatch):
+    from collections import Counter
+
+    monkeypatch.setattr(near_text, "SAMPLE", 50, raising=False)
+    texts = [t for _, t in rows()]
+    docs = spark.createDataFrame(enumerate(texts), "doc_id long, text string").repartition(3)
+    want = Counter(s for t in texts for s in near_text.shingles((t or "").encode()).tolist())
+    s, n = near_text._common(docs, 5)
+    assert dict(zip(s.tolist(), n.tolist(), strict=True)) == {k: v for k, v in want.items() if v >= near_text.COMMON}
