@@ -217,3 +217,11 @@ def test_references_without_a_semicolon_stay_in_readable_text(spark):
 
     pages = spark.createDataFrame([(1, "<h1>a&amp;&amp; b&amp</h1><p>c &lt;d&gt;</p>"), (2, None)], "page_id long, html string")
     assert {r.page_id: r.text for r in pages.select("page_id", readable("html").alias("text")).collect()} == {1: "a&& b&amp\n\nc <d>", 2: None}
+
+
+def test_comments_and_scripts_part_no_text_of_a_paragraph(spark):
+    from cellforge.functions.text import readable, readable_main
+
+    pages = spark.createDataFrame([(1, "<h1>a <!-- b --> c</h1><p>d<script>e</script> f <!----><style>g</style>h <b> i </b><!-- j --> k</p><p>l </b><!-- m --> n</p>")], "page_id long, html string")
+    want = "a  c\n\nd f hik\n\nln"
+    assert [tuple(r) for r in pages.select(readable("html"), readable_main("html")).collect()] == [(want, want)]
