@@ -78,6 +78,12 @@ def test_repeats_are_removed_exactly(docs, rows, monkeypatch, group):
     assert all(len(r.text.encode()) <= r.n_bytes - r.n_removed <= len(r.text.encode()) + 6 * r.n_spans for r in found)
 
 
+def test_reach_before_an_anchor_stays_where_others_share_only_what_follows():
+    contexts = [b"1xy_anchored", b"2xy_anchored", b"3xy-anchored"]
+    left, right = suffix_dedup.repeat_reach(np.zeros(3, np.int64), np.full(3, 4), contexts, 8, 4)
+    assert (left.tolist(), right.tolist()) == ([3, 3, 0], [8, 8, 8])
+
+
 def naive_repeats(texts, least):
     """Each repeated string of `least` bytes or more that no byte on a side extends in all its places, with these places."""
     places, found = {}, {}
