@@ -84,6 +84,15 @@ def test_reach_before_an_anchor_stays_where_others_share_only_what_follows():
     assert (left.tolist(), right.tolist()) == ([3, 3, 0], [8, 8, 8])
 
 
+def test_contexts_that_end_in_zero_bytes_are_sorted_with_their_lengths():
+    contexts = [b"1_anch\0\0", b"2_anch", b"3_anch\0\0"]
+    left, right = suffix_dedup.repeat_reach(np.zeros(3, np.int64), np.full(3, 2), contexts, 7, 4)
+    assert (left.tolist(), right.tolist()) == ([1, 0, 1], [6, 0, 6])
+    contexts = [b"\0\0_anch1", b"_anch2", b"\0\0_anch3"]
+    left, right = suffix_dedup.repeat_reach(np.zeros(3, np.int64), np.array([3, 1, 3]), contexts, 7, 4)
+    assert (left.tolist(), right.tolist()) == ([3, 0, 3], [4, 0, 4])
+
+
 def naive_repeats(texts, least):
     """Each repeated string of `least` bytes or more that no byte on a side extends in all its places, with these places."""
     places, found = {}, {}
