@@ -93,6 +93,19 @@ def test_contexts_that_end_in_zero_bytes_are_sorted_with_their_lengths():
     assert (left.tolist(), right.tolist()) == ([3, 0, 3], [4, 0, 4])
 
 
+@pytest.mark.parametrize("gram", [64, 128])
+def test_a_run_is_found_whatever_stands_around_it(gram):
+    rng = random.Random(3)
+    word, up, _ = suffix_dedup._tables()
+    for period in (1, 3, gram // 4 - 1, gram // 4):
+        unit = bytes(rng.sample(range(1, 256), period))
+        run = (unit * gram)[:gram]
+        for _ in range(50):
+            buffer = np.frombuffer(b"\0" + rng.randbytes(100) + b"\0" + run + b"\0" + rng.randbytes(100), np.uint8)
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(word[buffer] * up[: len(buffer)], dtype=np.uint64)])
+            assert suffix_dedup.periodic_runs(buffer, sums, gram) == [(102, 102 + gram)]
+
+
 def naive_repeats(texts, least):
     """Each repeated string of `least` bytes or more that no byte on a side extends in all its places, with these places."""
     places, found = {}, {}
